@@ -79,8 +79,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             start = stop
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in bytes too, unless the session has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "", "-1", "0", str((1 << 63) - 1), str((1 << 31) - 1)):
+        spark.conf.set(key, str(4 * PIECE_BYTES))
+
+
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` over bounded pieces of the input."""
+    bound_batches(df.sparkSession)
 
     def run(batches):
         for piece in pieces(batches, text):

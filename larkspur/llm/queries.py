@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import media, mixing, pieces, quality_rules, secrets
+from larkspur.llm import classifier, jaccard, licenses, media, mixing, pieces, quality_rules, secrets
 from larkspur.llm.common import table
 
 
@@ -30,14 +30,30 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of near documents."""
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality scores."""
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts, as digests."""
     return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices by document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as lossless WebP and read back."""
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_secrets, op7_sentencepiece, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_jaccard_join, op6_quality_classifier, op7_sentencepiece, op8_licenses, op10_media)}
