@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import classifier, jaccard, licenses, media, mixing, pieces, quality_rules, secrets
+from larkspur.llm import classifier, jaccard, licenses, line_dedup, media, mixing, pieces, quality_rules, secrets
 from larkspur.llm.common import table
 
 
@@ -51,9 +51,14 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines to be removed from each document."""
+    return line_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as lossless WebP and read back."""
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_jaccard_join, op6_quality_classifier, op7_sentencepiece, op8_licenses, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_jaccard_join, op6_quality_classifier, op7_sentencepiece, op8_licenses, op9_line_dedup, op10_media)}
