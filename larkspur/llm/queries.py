@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import classifier, jaccard, licenses, line_dedup, media, mixing, pieces, quality_rules, secrets
+from larkspur.llm import classifier, jaccard, licenses, line_dedup, media, mixing, pieces, quality_rules, secrets, substrings
 from larkspur.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in passages that a document with a smaller id has too."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated quality scores."""
     docs = table(spark, sf_dir, "documents")
@@ -61,4 +66,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_jaccard_join, op6_quality_classifier, op7_sentencepiece, op8_licenses, op9_line_dedup, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_jaccard_join, op5_substring_dedup, op6_quality_classifier, op7_sentencepiece, op8_licenses, op9_line_dedup, op10_media)}
