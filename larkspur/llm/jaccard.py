@@ -232,7 +232,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         state = sized.join(pivots.select("token", F.col("a").alias("id")), ["token", "id"], "left_anti").select("token", "id", "far")
         width = min(width * 4, MOST_PIVOTS)
     out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

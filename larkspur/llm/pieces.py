@@ -17,6 +17,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -125,7 +126,9 @@ def encode(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id
         found = _table(_local(model)).encode_decode([t or "" for t in batch.column(1).to_pylist()])
         n = pa.array([f[1] for f in found], pa.int64())
         if with_ids:
-            cols = [pa.array([[int(i) for i in f[0].split(" ")] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.string())]
+            values = np.fromstring(" ".join(f[0] for f in found), dtype=np.int32, sep=" ")
+            offsets = np.concatenate([[0], np.cumsum(n.to_numpy())]).astype(np.int32)
+            cols = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([f[2] for f in found], pa.string())]
             return pa.RecordBatch.from_arrays([batch.column(0), n, *cols], ["doc_id", "n_tokens", "ids", "decoded"])
         cols = [pa.array([hashlib.sha256(f[k].encode()).hexdigest() for f in found], pa.string()) for k in (0, 2)]
         return pa.RecordBatch.from_arrays([batch.column(0), n, *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
