@@ -106,22 +106,35 @@ class Templates:
             if width:
                 found = np.unique(shingles(words, width))
                 self.scales.setdefault((width, _scale(len(found))), []).append((number, found))
-        self.tables = {}
+        self.tables, self.winners = {}, {}
         for key, members in self.scales.items():
-            mins = np.array([[(s * f).min() for f in self.factors] for _, s in members])
-            self.tables[key] = mins
-
-
-def _blocks(first: np.ndarray, count: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of blocks of ``step`` shingles, by row from its first one on, and each block's row."""
-    per = -(-count // step)
-    row = np.repeat(np.arange(len(count)), per)
-    before = np.cumsum(per) - per
-    return first[row] + (np.arange(len(row)) - before[row]) * step, row
+            self.tables[key] = np.array([[(s * f).min() for f in self.factors] for _, s in members])
+            winners = np.unique([s[(s * f).argmin()] for _, s in members for f in self.factors])
+            first = np.zeros(1 << 16, bool)  # by the first 16 bits, to pass over nearly all shingles at once
+            first[(winners >> np.uint64(48)).astype(np.int64)] = True
+            self.winners[key] = (winners, first)
+
+
+def _windows(first: np.ndarray, count: np.ndarray, at: np.ndarray, step: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, start, end)`` of the windows that have one of the shingles ``at``; rows begin at ``first`` and
+    windows every ``step`` shingles from there."""
+    row = np.searchsorted(first, at, side="right") - 1
+    block = (at - first[row]) // step
+    # a shingle's block and the ones before it that the window reaches over
+    back = np.arange(span)
+    row, block = np.repeat(row, span), (block[:, None] - back[None, :]).ravel()
+    key = np.unique(np.stack([row, block], axis=1)[block >= 0], axis=0)
+    row, block = key[:, 0], key[:, 1]
+    start = first[row] + block * step
+    return row, start, np.minimum(start + span * step, first[row] + count[row])
 
 
 def scan_batch(column: pa.Array, templates: Templates, containment: float = CONTAINMENT) -> list[list[tuple[int, int, str, float]]]:
-    """By row: ``(start word, end word, template, share of its shingles found)``."""
+    """By row: ``(start word, end word, template, share of its shingles found)``.
+
+    A window's MinHash value of a band can only equal a template's if the window has the very shingle that is least
+    in the template. So the values are computed for windows with such a shingle, which gives the
+    same collisions as computing them for all."""
     words, bounds = folded_words(column)
     out: list[list] = [[] for _ in range(len(column))]
     by_width: dict[int, np.ndarray] = {}
@@ -130,46 +143,30 @@ def scan_batch(column: pa.Array, templates: Templates, containment: float = CONT
             by_width[width] = shingles(words, width)
         all_shingles = by_width[width]
         count = np.maximum(0, np.diff(bounds) - width + 1)
-        step = max(1, scale // 4)
-        span = scale // step + 1
         rows = np.flatnonzero(count)
-        starts, row = _blocks(bounds[:-1][rows], count[rows], step)
-        if not len(starts):
+        winners, table = templates.winners[(width, scale)]
+        at = np.flatnonzero(table[(all_shingles >> np.uint64(48)).astype(np.int64)])
+        at = at[np.isin(all_shingles[at], winners)]
+        if not len(at) or not len(rows):
             continue
-        row = rows[row]
-        ends = np.minimum(starts + step, bounds[row] + count[row])
-        # blocks as pairs of bounds; what lies between two pairs is dropped
-        edges = np.empty(2 * len(starts), np.int64)
-        edges[0::2], edges[1::2] = starts, ends
-        open_end = ends[-1] >= len(all_shingles)
-        if open_end:
-            edges = edges[:-1]
-        hits: set[tuple[int, int]] = set()
-        table = templates.tables[(width, scale)]
-        most = np.uint64((1 << 64) - 1)
-        for k, factor in enumerate(templates.factors):
-            low = np.minimum.reduceat(all_shingles * factor, edges)[0::2]
-            window = low.copy()
-            for j in range(1, span):
-                same = row[j:] == row[:-j] if len(row) > j else np.zeros(0, bool)
-                window[: len(same)] = np.minimum(window[: len(same)], np.where(same, low[j:], most))
-            wanted = table[:, k]
-            if len(wanted) == 1:
-                found = np.flatnonzero(window == wanted[0])
-            else:
-                found = np.flatnonzero(np.isin(window, wanted))
-            for b in found.tolist():
-                for m in np.flatnonzero(wanted == window[b]).tolist():
-                    hits.add((b, m))
-        for b, m in sorted(hits):
-            number, own = members[m]
-            r = int(row[b])
-            a, z = int(starts[b]), int(min(starts[b] + span * step, bounds[r] + count[r]))
-            inside = np.isin(all_shingles[a:z], own)
-            share = len(np.unique(all_shingles[a:z][inside])) / len(own)
-            if share >= containment:
-                at = np.flatnonzero(inside)
-                first, last = a + int(at[0]) - int(bounds[r]), a + int(at[-1]) + width - int(bounds[r])
+        # shingles that begin in one row and end in another are none
+        place = np.searchsorted(bounds[:-1][rows], at, side="right") - 1
+        at = at[at - bounds[:-1][rows][place] < count[rows][place]]
+        step = max(1, scale // 4)
+        span = scale // step + 1
+        row, starts, ends = _windows(bounds[:-1][rows], count[rows], at, step, span)
+        mins = templates.tables[(width, scale)]
+        for r, a, z in zip(rows[row].tolist(), starts.tolist(), ends.tolist()):
+            window = all_shingles[a:z]
+            least = (window[None, :] * templates.factors[:, None]).min(axis=1)
+            for m in np.flatnonzero((mins == least[None, :]).any(axis=1)).tolist():
+                number, own = members[m]
+                inside = np.isin(window, own)
+                share = len(np.unique(window[inside])) / len(own)
+                if share < containment:
+                    continue
+                found = np.flatnonzero(inside)
+                first, last = a + int(found[0]) - int(bounds[r]), a + int(found[-1]) + width - int(bounds[r])
                 name = templates.names[number]
                 before = next((k for k in range(len(out[r]) - 1, -1, -1) if out[r][k][2] == name), None)
                 if before is not None and first < out[r][before][1]:
