@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 
 #: Arrow batches are cut into pieces of about so many bytes of text before Python works on them.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +48,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, so a
     lost executor costs a reread and not a recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    # the table stands for all that led to it, so the write's shuffle files may go at its end
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, None)
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(tidy, before) if before is not None else spark.conf.unset(tidy)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
     return out
@@ -79,11 +88,27 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             start = stop
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, as one archive, for they may not have it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_larkspur_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="larkspur-")) / "larkspur.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._larkspur_sent = True
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes too, unless the session has a limit of its own."""
+    """What Python work on executors needs: the package, and Arrow batches that are small in bytes too (unless
+    the session has a limit of its own)."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in (None, "", "-1", "0", str((1 << 63) - 1), str((1 << 31) - 1)):
-        spark.conf.set(key, str(4 * PIECE_BYTES))
+        spark.conf.set(key, str(8 * PIECE_BYTES))
 
 
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:

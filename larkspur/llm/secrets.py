@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_texts
+from larkspur.llm.common import map_texts, ship
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -134,6 +134,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by ``mark``; all their columns stay."""
 
+    ship(docs.sparkSession)
+
     @F.udf("string")
     def cut(text):
         if text is None:
