@@ -72,7 +72,7 @@ def word_vectors(bucket: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Index vectors plus contexts gathered over the training tokens."""
     index = index_vectors()
     context = np.zeros_like(index)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
     for away in range(1, CONTEXT + 1):
         near = row[away:] == row[:-away]
         left, right = bucket[:-away][near], bucket[away:][near]
@@ -158,16 +158,21 @@ def _network(x: np.ndarray, y: np.ndarray, steps: int = 600, seed: int = 5) -> l
     return w
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
+def train(texts: pa.Array | list, labels: list[int]) -> Model:
     """Fit vectors, network and temperature. Every fifth row only calibrates the temperature."""
     vectors = index_vectors()
-    if not texts:
+    if not len(texts):
         zero = np.zeros(DIM + 4, np.float32)
         return Model(vectors, zero, zero + 1, [np.zeros((DIM + 4, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0], 1.0)
-    column = pa.array([t or "" for t in texts], pa.string())
-    hashes, bounds = tokens(column)
-    vectors = word_vectors((hashes % np.uint64(BUCKETS)).astype(np.int64), bounds)
-    x, y = pooled(column, vectors), np.array(labels, np.float64)
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    parts = [column.slice(k, 256) for k in range(0, len(column), 256)]  # few texts at a time on the driver
+    buckets, counts = [], []
+    for part in parts:
+        hashes, bounds = tokens(part)
+        buckets.append((hashes % np.uint64(BUCKETS)).astype(np.int32))
+        counts.append(np.diff(bounds))
+    vectors = word_vectors(np.concatenate(buckets), np.concatenate([[0], np.cumsum(np.concatenate(counts))]))
+    x, y = np.concatenate([pooled(part, vectors) for part in parts]), np.array(labels, np.float64)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     spare = np.arange(len(x)) % 5 == 4
     z = ((x - mean) / scale).astype(np.float64)
@@ -187,8 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     # at most max_train ids, 16 bytes each, so the broadcast is bounded
     ids = known.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id", "__y").limit(max_train)
     rows = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"]).select("__h", "__id", F.col(text_col).alias("__text"), "__y")
-    got = rows.orderBy("__h", "__id").limit(max_train).collect()
-    return train([r["__text"] for r in got], [r["__y"] for r in got])
+    got = rows.orderBy("__h", "__id").limit(max_train).toArrow()
+    return train(got.column("__text").combine_chunks(), got.column("__y").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
