@@ -43,7 +43,10 @@ def _covered(hashes: Column) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    def window(word, i):
+        return F.xxhash64(word, *[F.get(words, i + k) for k in range(1, WINDOW)])
+
+    windows = F.transform(F.slice(words, 1, F.size(words) - (WINDOW - 1)), window)
     counted = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)))
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(counted)
 
@@ -59,7 +62,7 @@ def measure(text: Column) -> Column:
     def of_lines(lines):
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
-    words = let(F.filter(F.split(text, SPLIT), lambda w: w != ""), of_words)
+    words = let(F.array_remove(F.split(text, SPLIT), ""), of_words)
     lines = let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""), of_lines)
     return F.struct(
         words["n_words"].alias("n_words"),
