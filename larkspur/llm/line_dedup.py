@@ -11,9 +11,10 @@ number, has a Jaccard similarity of 0.9 or more to it (whether that one is remov
 3. *Prefix filter:* lines within the threshold share one of the first ``floor(n/10) + 1`` words.
    Lines of under 9 words only match equal sets. *Length filter:* sizes within 9 to 10.
    *Positional filter:* the shared prefix words and what can follow the last of them bound the overlap.
-   A 64-bit parity sketch of the sets bounds their difference from below.
+   A 64-bit parity sketch of the sets bounds their difference from below. Lines that no other line of
+   a shared prefix word could match by length and sketch go no further.
 4. What passes is verified on the words themselves. In each round, the lines that share a prefix word are held
-   against the earliest of them only; those not yet matched go on to the next ones, four times as many a
+   against the earliest of them only; those not yet matched go on to the next ones, 32 times as many a
    round, until every line is matched or has been held against all earlier ones.
 
 Defined results: a null text has no line, blank lines are neither compared nor removed; a line that
@@ -36,6 +37,10 @@ NEAR, OF = 9, 10
 CELL_BITS = 18
 SLICES = 16
 MOST_EARLIER = 512
+#: How many times as many earlier lines the next round takes.
+STEP = 32
+#: Rows of a task's sorted postings that are judged at once, a token's end permitting.
+HELD = 1 << 14
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,20 +144,97 @@ def lines_table(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), work, "doc_id long, line_no int, n int, d1 long, d2 long, bits long, prefix array<int>")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Length, parity and positional filters."""
+def _overlap(a, b):
+    """Least shared words of lines of these sizes within the threshold."""
+    return F.floor((NEAR * (a + b) + NEAR + OF - 1) / (NEAR + OF))
+
+
+def _similar(a, b, x, y):
+    """The length filter, and the parity sketches ``x`` and ``y``: each word that only one line has turns one bit."""
+    return (OF * F.least(a, b) >= NEAR * F.greatest(a, b)) & (F.bit_count(x.bitwiseXOR(y)) <= a + b - 2 * _overlap(a, b))
+
+
+def _differ(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`_similar` for arrays: sketches ``x``, ``y`` and sizes ``a <= b``; True where a pair is ruled out."""
+    need = (NEAR * (a + b) + NEAR + OF - 1) // (NEAR + OF)
+    return np.bitwise_count(x ^ y) > a + b - 2 * need
+
+
+def partners(token: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Rows, sorted by token and size, that length and parity allow to match another row of their token.
+
+    Row ``i`` meets row ``i + d`` for growing ``d``, all rows in step, as long as the other is no more than 10/9 its size."""
+    out = np.zeros(len(token), bool)
+    live, d = np.arange(len(token)), 0
+    while len(live):
+        d += 1
+        live = live[live + d < len(token)]
+        live = live[(token[live + d] == token[live]) & (OF * n[live] >= NEAR * n[live + d])]
+        match = live[~_differ(bits[live], bits[live + d], n[live], n[live + d])]
+        out[match] = out[match + d] = True
+    return out
+
+
+def _regions(postings: DataFrame) -> DataFrame:
+    """Of ``(token, n, bits, doc_id, line_no)``, the rows that may match another of their token. Rows come sorted, and are
+    held only until their token ends; a token of more than ``HELD`` rows is passed on whole, unjudged."""
+
+    def judge(held):
+        tab = pa.Table.from_batches(held).combine_chunks()
+        keep = partners(*[tab.column(k).to_numpy() for k in (0, 1)], tab.column(2).to_numpy().view(np.uint64))
+        return [b for b in tab.filter(pa.array(keep)).to_batches() if b.num_rows]
+
+    def run(batches):
+        held, size, passed = [], 0, None  # passed: the token that is being passed on
+        for batch in batches:
+            token = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]]).tolist()
+            for a, z in ((cuts[0], cuts[1]), (cuts[1], cuts[-2]), (cuts[-2], cuts[-1])) if len(cuts) > 2 else ((0, len(token)),):
+                if z <= a:
+                    continue
+                part, first = batch.slice(a, z - a), token[a]
+                if passed is not None and first == passed:
+                    yield part
+                    continue
+                passed = None
+                same = bool(held) and held[-1].column(0)[held[-1].num_rows - 1].as_py() == first
+                if held and not same and size >= HELD:
+                    yield from judge(held)
+                    held, size = [], 0
+                held.append(part)
+                size += z - a
+                if size >= 16 * HELD and same:
+                    # one token fills what is held: judge what came before it, pass on the rest
+                    tab = pa.Table.from_batches(held).combine_chunks()
+                    at = int(np.searchsorted(tab.column(0).to_numpy(), first))
+                    if at:
+                        yield from judge(tab.slice(0, at).to_batches())
+                    yield from tab.slice(at).to_batches()
+                    held, size, passed = [], 0, first
+        if held:
+            yield from judge(held)
+
+    bound_batches(postings.sparkSession)
+    rows = postings.select("token", "n", "bits", "doc_id", "line_no").repartition(F.col("token")).sortWithinPartitions("token", "n")
+    return rows.mapInArrow(run, "token int, n int, bits long, doc_id long, line_no int")
+
+
+def _matches(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The later lines ``(doc_id, line_no)`` of the pairs within the threshold: the positional filter, then the words.
+    ``lines`` has prefix and words of all lines in question."""
 
     def side(s):
-        return classes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "line_no", "n", "bits", "prefix")])
+        return lines.select(*[F.col(c).alias(f"{s}_{c}") for c in ("doc_id", "line_no", "prefix", "words")])
 
     rows = pairs.join(side("x"), ["x_doc_id", "x_line_no"]).join(side("y"), ["y_doc_id", "y_line_no"])
-    a, b = F.col("x_n"), F.col("y_n")
-    need = F.floor((NEAR * (a + b) + NEAR + OF - 1) / (NEAR + OF))
-    rows = rows.filter((OF * F.least(a, b) >= NEAR * F.greatest(a, b)) & (F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits"))) <= a + b - 2 * need))
+    a, b = F.size("x_words"), F.size("y_words")
     rows = rows.withColumn("__shared", F.array_intersect("x_prefix", "y_prefix")).filter(F.size("__shared") > 0)
     last = F.element_at("__shared", -1)
     after = F.least(a - F.array_position("x_prefix", last), b - F.array_position("y_prefix", last))
-    return rows.filter(F.size("__shared") + after >= need).select(*pairs.columns)
+    rows = rows.filter(F.size("__shared") + after >= _overlap(a, b))
+    both = F.size(F.array_intersect("x_words", "y_words"))
+    near = rows.filter(OF * both >= NEAR * (a + b - both))
+    return near.select(F.col("x_doc_id").alias("doc_id"), F.col("x_line_no").alias("line_no")).distinct()
 
 
 def _wanted_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -180,20 +262,6 @@ def _wanted_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
     return map_texts(rows, work, "doc_id long, line_no int, words array<long>").dropDuplicates(["doc_id", "line_no"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The later lines ``(doc_id, line_no)`` of the pairs within the threshold."""
-    needed = pairs.select(F.col("x_doc_id").alias("doc_id"), F.col("x_line_no").alias("line_no")).unionByName(pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line_no").alias("line_no"))).distinct()
-    sets = stored(_wanted_sets(needed, docs), "line-sets")
-
-    def side(s):
-        return sets.select(*[F.col(c).alias(f"{s}_{c}") for c in sets.columns])
-
-    rows = pairs.join(side("x"), ["x_doc_id", "x_line_no"]).join(side("y"), ["y_doc_id", "y_line_no"])
-    both = F.size(F.array_intersect("x_words", "y_words"))
-    near = rows.filter(OF * both >= NEAR * (F.size("x_words") + F.size("y_words") - both))
-    return near.select(F.col("x_doc_id").alias("doc_id"), F.col("x_line_no").alias("line_no")).distinct()
-
-
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(lines, removed)``: all lines with words as ``(doc_id, line_no)``, and those to be removed."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
@@ -202,22 +270,25 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = lines.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = stored(classes.select("at.doc_id", "at.line_no", "n", "d1", "d2", "bits", "prefix"), "classes")
 
-    postings = classes.filter("n >= 9").select("doc_id", "line_no", F.explode(F.array_distinct("prefix")).alias("token"))
-    shared = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "shared")
-    state = stored(postings.join(shared, "token"), "regions")
-    discard(shared)
+    postings = classes.filter("n >= 9").select("doc_id", "line_no", "n", "bits", F.explode(F.array_distinct("prefix")).alias("token"))
+    state = stored(_regions(postings), "regions")
+    # the words of all lines in question, fetched once
+    asked = state.select("doc_id", "line_no").distinct()
+    words = _wanted_sets(asked, docs).join(classes.select("doc_id", "line_no", "prefix"), ["doc_id", "line_no"])
+    words = stored(words, "line-words")
     matched, width = None, 1
     while not state.isEmpty():
         place = F.row_number().over(Window.partitionBy("token").orderBy("doc_id", "line_no"))
-        early = state.withColumn("__place", place).filter(F.col("__place") <= width).select("token", F.col("doc_id").alias("y_doc_id"), F.col("line_no").alias("y_line_no"))
+        early = state.withColumn("__place", place).filter(F.col("__place") <= width).select("token", F.col("doc_id").alias("y_doc_id"), F.col("line_no").alias("y_line_no"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits"))
         early = stored(early, "early")
         probes = state if matched is None else state.join(matched, ["doc_id", "line_no"], "left_anti")
+        # held against each other inside the join: what leaves it is nearly always a match
         pairs = probes.join(early, "token").filter("y_doc_id < doc_id or (y_doc_id = doc_id and y_line_no < line_no)")
+        pairs = pairs.filter(_similar(F.col("n"), F.col("y_n"), F.col("bits"), F.col("y_bits")))
         pairs = pairs.select(F.col("doc_id").alias("x_doc_id"), F.col("line_no").alias("x_line_no"), "y_doc_id", "y_line_no").distinct()
-        likely = stored(_plausible(pairs, classes), "pairs")
-        if not likely.isEmpty():
-            found = _verified(likely, docs)
-            matched = stored(found if matched is None else matched.unionByName(found), "matched")
+        found = stored(_matches(pairs, words), "matched")
+        if not found.isEmpty():
+            matched = found if matched is None else stored(matched.unionByName(found), "matched")
         # those just used are settled; a group goes on while a line in it is unmatched
         settled = early.select("token", F.col("y_doc_id").alias("doc_id"), F.col("y_line_no").alias("line_no"))
         rest = state.join(settled, ["token", "doc_id", "line_no"], "left_anti")
@@ -225,7 +296,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         live = live.groupBy("token").agg(F.count(F.lit(1)).alias("__n")).select("token")
         before, state = state, stored(rest.join(live, "token", "left_semi"), "regions")
         discard(before)
-        width = min(4 * width, MOST_EARLIER)
+        width = min(STEP * width, MOST_EARLIER)
     keys = classes.select("d1", "d2", "n", F.col("doc_id").alias("f_doc_id"), F.col("line_no").alias("f_line_no"))
     if matched is not None:
         gone = matched.select(F.col("doc_id").alias("f_doc_id"), F.col("line_no").alias("f_line_no"), F.lit(True).alias("gone"))

@@ -247,8 +247,9 @@ def brute_components(pairs_of):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("frequent,pivots", [(64, 512), (2, 1)])
-def test_jaccard_components(spark, docs, rows, monkeypatch, frequent, pivots):
+@pytest.mark.parametrize("frequent,pivots,relabel", [(64, 512, 1000), (2, 1, 1)])
+def test_jaccard_components(spark, docs, rows, monkeypatch, frequent, pivots, relabel):
+    monkeypatch.setattr(jaccard, "RELABEL", relabel)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "MOST_PIVOTS", pivots)
     got = {tuple(r) for r in jaccard.link(docs).collect()}
@@ -702,3 +703,21 @@ def test_webp_refuses_damage():
     for bad in (b"", good[:10], good[:-40], good.replace(b"VP8L", b"VP8X")):
         with pytest.raises(webp.BadImage):
             webp.decode(bad)
+
+
+@pytest.mark.parametrize("held", [1 << 14, 1])
+def test_line_regions_keep_possible_partners(spark, monkeypatch, held):
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 2, 3, 3, 3, 3]) if k % 3 else k, rng.randrange(9, 60), rng.getrandbits(4) | (rng.getrandbits(62) if k % 2 else 0), k, 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "token int, n int, bits long, doc_id long, line_no int")
+    got = {tuple(r) for r in line_dedup._regions(df).collect()}
+    for r in rows:
+        partner = False
+        for q in rows:
+            a, b = sorted((r[1], q[1]))
+            need = -(-9 * (a + b) // 19)
+            if q is not r and q[0] == r[0] and 10 * a >= 9 * b and bin(r[2] ^ q[2]).count("1") <= a + b - 2 * need:
+                partner = True
+        assert not partner or r in got
+        assert held == 1 or partner == (r in got)
