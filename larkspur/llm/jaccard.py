@@ -6,17 +6,24 @@ components don't already say, in these steps.
 1. *Classes.* Documents with equal sets are one class, held by its smallest id.
 2. *Regions.* By the prefix principle two sets within the radius share a shingle among the first
    ``floor(n/4) + 1`` of either in any common order. Every shingle so used is a region of the
-   representatives that have it. The order puts shingles that many documents share last, so
+   classes that have it. The order puts shingles that many documents share last, so
    that a boilerplate line doesn't make a region; a bounded table of their hashes is enough,
    since any order gives the same result.
-3. *Pivots.* Each region elects its smallest member; all members are compared with it, not with
+3. *Pivots.* Each region elects the member with the fewest prefix shingles of its own (an original has none
+   where its altered copies have some); all members are compared with it, not with
    each other. Pairs are first held against bounds that need no texts (set sizes, and how many
    prefix shingles two sets within the radius must share), the rest is verified on whole sets.
-4. *Recursion.* Members that are linked through a pivot need no more comparisons among
-   themselves. Regions that still hold two components elect further pivots, four times as many
-   each round; members whose distances ``d(x, p)``, ``d(y, p)`` to the first pivot are known and
-   differ by more than the radius can't be near (triangle inequality) and are left out. It ends when every
-   region is in one component or every pair in it was settled.
+4. *Voronoi cells.* A class belongs to the cell of a pivot it was measured against: the one that measured the most
+   classes, so that cells are few, and the nearest of equals. Let ``x`` and ``y`` be in the cell of ``p``. If they are near, ``|x & y|`` is at least 3/7 of ``|x| + |y|``; where ``|y & p|`` is less
+   than that, they share a shingle that ``p`` doesn't have. (This is the triangle inequality of the symmetric
+   difference, made sharp.) So cells with several components are split into new regions by the shingles that
+   members have beyond their pivot. Only boundary pairs, in which both have that much in common with ``p``, are
+   left: one of them is smaller than ``p`` by a margin, and they are found by their sizes and compared
+   directly. Nobody is compared within a cell in any other way.
+5. *Recursion.* Members linked through a pivot need no more comparisons among themselves. Regions that
+   still hold several components and cells elect further pivots, sixteen times as many each round and from the
+   region's smallest cells first, each held against all members of other components and cells. It ends
+   when every region is in one component or one cell, or all its members have been pivots.
 
 Shingles are compared by 64-bit hash. Regions are never materialised as pairs, hot shingles are
 counted before they are shuffled, and skewed joins are plain equi-joins that adaptive execution
@@ -41,10 +48,15 @@ from larkspur.llm.components import components
 WIDTH = 5
 #: Shared prefix shingles are counted in cells of so many bits; the most frequent cells go last.
 CELL_BITS = 24
-FREQUENT = 64
+FREQUENT = 16
 MOST_FREQUENT = 1 << 16
+SLICES = 64
 #: Pivots that a region elects in one round.
 MOST_PIVOTS = 512
+#: How many times as many the next round has.
+STEP = 16
+#: New links after which components are computed anew before the next round.
+RELABEL = 1000
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,23 +97,34 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
 
 
 def frequent_cells(docs: DataFrame) -> np.ndarray:
-    """Cells whose shingles many documents have in their prefix, at most ``MOST_FREQUENT`` of them: a
-    table of at most half a megabyte. Tasks count all their documents and report repeated cells."""
+    """Cells whose shingles ``FREQUENT`` or more documents have in their prefix, at most ``MOST_FREQUENT`` of them: a
+    table of at most half a megabyte. All documents are counted; a task's counts are a table of fixed size."""
     bound_batches(docs.sparkSession)
+    least, width = FREQUENT, (1 << CELL_BITS) // SLICES
 
-    def run(batches):
-        counts = np.zeros(1 << CELL_BITS, np.uint16)
+    def count(batches):
+        counts = np.zeros(1 << CELL_BITS, np.uint8)
         for piece in pieces(batches):
             found = [_cells(s[: prefix_size(len(s))]) for s in shingle_sets(piece.column(0))]
             cell, many = np.unique(np.concatenate(found), return_counts=True)
-            counts[cell] = np.minimum(counts[cell].astype(np.int64) + many, 65535)
-        cell = np.flatnonzero(counts > 1)
-        for at in range(0, len(cell), 100_000):
-            part = cell[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], ["cell", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "cell int, n long")
-    top = rows.groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "cell").limit(MOST_FREQUENT)
+            counts[cell] = np.minimum(counts[cell] + many, 255)
+        for k in range(SLICES):
+            part = counts[k * width : (k + 1) * width]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.frombuffer(part.as_buffer(), np.uint8)
+                sums[k] = sums.get(k, 0) + more.astype(np.int64)
+        for k, total in sums.items():
+            cell = np.flatnonzero(total >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(cell + k * width, pa.int32()), pa.array(total[cell], pa.int64())], ["cell", "n"])
+
+    parts = docs.select("text").mapInArrow(count, "slice int, counts binary")
+    top = parts.repartition(SLICES, "slice").mapInArrow(add, "cell int, n long").orderBy(F.desc("n"), "cell").limit(MOST_FREQUENT)
     return np.array(sorted(r["cell"] for r in top.collect()), np.int64)
 
 
@@ -142,17 +165,20 @@ def _overlap(a: Column, b: Column) -> Column:
 def _near_prefixes(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs that sizes and prefixes don't rule out. Of the two prefixes, the one that ends earlier in
     the common order lies whole within the other set's prefix range, so all but ``n - overlap`` of it are shared."""
-    x = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-    y = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    rows = pairs.join(x, "b").join(y, "a").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    need = _overlap(F.col("na"), F.col("nb"))
-    least = F.least(*[need - F.col(n) + F.floor(F.col(n) / 4) + 1 for n in ("na", "nb")])
-    shared = F.size(F.array_intersect("pa", "pb"))
+
+    def side(s):
+        return reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("prefix").alias(f"prefix_{s}"))
+
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    need = _overlap(F.col("n_a"), F.col("n_b"))
+    least = F.least(*[need - F.col(n) + F.floor(F.col(n) / 4) + 1 for n in ("n_a", "n_b")])
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
     return rows.filter(shared >= F.greatest(F.lit(1), least)).select("a", "b")
 
 
 def _distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(a, b, inter, total)`` on whole sets: sizes of the intersection and the union."""
+    """``(a, b, inter, total, beyond)`` on whole sets: sizes of intersection and union, and the shingles that
+    ``b`` has beyond ``a``, cut to 32 bits."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
@@ -161,78 +187,147 @@ def _distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             ids = piece.column(0).to_pylist()
             new = [k for k in range(len(ids)) if ids[k] != (ids[k - 1] if k else before)]
             left = shingle_sets(piece.column(2).take(pa.array(new))) if new else []
-            inter, total, at = [], [], 0
+            inter, total, beyond, at = [], [], [], 0
             for k, s in enumerate(shingle_sets(piece.column(3))):
                 if at < len(new) and new[at] == k:
                     own = left[at]
                     at += 1
-                both = len(np.intersect1d(own, s, assume_unique=True))
-                inter.append(both)
-                total.append(len(own) + len(s) - both)
+                place = np.minimum(np.searchsorted(own, s), len(own) - 1)
+                more = s[own[place] != s]
+                inter.append(len(s) - len(more))
+                total.append(len(own) + len(more))
+                beyond.append((more >> np.uint64(32)).astype(np.uint32).view(np.int32))
             before = ids[-1]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"])
-
-    rows = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, inter long, total long")
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in beyond])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(beyond)))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64()), lists], ["a", "b", "inter", "total", "beyond"])
+
+    # whole texts are shuffled for the documents in question only
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = stored(docs.join(ids, docs["doc_id"] == ids["id"]).select("id", "text"), "texts")
+    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, inter long, total long, beyond array<int>")
+    out = stored(rows, "distances")
+    discard(texts)
+    return out
 
 
 def _within(rows: DataFrame) -> DataFrame:
-    return rows.filter("100 * inter >= 75 * total")
+    return rows.filter("100 * inter >= 75 * total").select("a", "b")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the component of their ``id``; an id without links is a component by itself."""
+    return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _split_cells(found: DataFrame, reps: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(cells, regions, pairs)``: each measured class with its pivot; for cells with more than one component,
+    the regions by shingles beyond the pivot, and the boundary pairs."""
+    seen = found.groupBy("a").agg((-F.count(F.lit(1))).alias("seen"))
+    best = F.min(F.struct("seen", (1 - F.col("inter") / F.col("total")).alias("far"), "a", "inter", "total"))
+    cells = found.join(seen, "a").groupBy("b").agg(best.alias("m")).select(F.col("b").alias("id"), F.col("m.a").alias("cell"), "m.inter", "m.total")
+    cells = stored(cells.join(reps.select("id", "n"), "id"), "cells")
+    own = _labelled(cells.select("id", "cell"), labels).unionByName(_labelled(cells.select(F.col("cell").alias("id")).distinct().withColumn("cell", F.col("id")), labels))
+    mixed = stored(own.groupBy("cell").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).filter("__lo < __hi").select("cell"), "mixed")
+    inside = cells.join(mixed, "cell").select(F.col("cell").alias("a"), F.col("id").alias("b"))
+    beyond = found.join(inside, ["a", "b"]).dropDuplicates(["a", "b"]).select("a", "b", F.explode(F.array_distinct("beyond")).alias("token"))
+    # y isn't linked with the pivot and has room for a partner of 3 n <= 7 inter - 3 n_y; only such sizes can be x
+    y = cells.join(mixed, "cell").filter("100 * inter < 75 * total").select("cell", F.col("id").alias("y"), F.col("n").alias("n_y"), (7 * F.col("inter") - 3 * F.col("n")).alias("room"))
+    most = y.groupBy("cell").agg(F.max("room").alias("most"))
+    x = cells.join(most, "cell").filter("3 * n <= most and 7 * inter >= 3 * n").select("cell", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("inter").alias("i_x"))
+    pairs = x.join(y, "cell").filter("x <> y and 3 * n_x <= room and 3 * (n_x + n_y) <= 7 * i_x and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y)")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return cells.select("id", "cell"), beyond.select(F.xxhash64("a", "token").alias("token"), F.col("b").alias("id"), F.col("b").alias("cell")), pairs
+
+
+def _mixed(state: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their components, of regions whose members are still in several components and cells."""
+    rows = _labelled(state, labels)
+    ends = [f(c).alias(f"__{n}_{c}") for c in ("component", "cell") for n, f in (("lo", F.min), ("hi", F.max))]
+    mixed = rows.groupBy("token").agg(*ends).filter("__lo_component < __hi_component and __lo_cell < __hi_cell").select("token")
+    return stored(rows.join(mixed, "token").select("token", "id", "cell", "n", "component"), "state")
+
+
+def _linked(near: DataFrame, docs: DataFrame, edges: DataFrame, labels: DataFrame, fresh: int) -> tuple[DataFrame, DataFrame, int]:
+    """Edges and labels with the links among the pairs ``near``. ``fresh`` counts links that the labels don't know yet:
+    they only spare comparisons, so a few may wait."""
+    if near.isEmpty():
+        return edges, labels, fresh
+    measured = _distances(near, docs)
+    more = stored(_within(measured), "edges")
+    discard(measured)
+    discard(near)
+    new = more.count()
+    if new:
+        edges, before = stored(edges.unionByName(more), "edges"), edges
+        discard(before)
+        fresh += new
+    discard(more)
+    if fresh >= RELABEL:
+        labels, fresh = stored(components(edges), "labels"), 0
+    return edges, labels, fresh
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = stored(sets_table(docs, frequent_cells(docs)), "sets")
-    classes = sets.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n")
-    reps = stored(classes.agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")).select("id", "n", "prefix", "d1", "d2"), "reps")
-    keys = reps.select("d1", "d2", "n", F.col("id").alias("rep"))
-    members = stored(sets.select("doc_id", "n", "d1", "d2").join(keys, ["d1", "d2", "n"], "left").select("doc_id", "n", "rep"), "members")
+    classes = sets.filter("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
+    reps = stored(classes, "reps")
+    members = stored(sets.select("doc_id", "n", "d1", "d2").join(reps.select("d1", "d2", "n", "id"), ["d1", "d2", "n"], "left").select("doc_id", "n", "id"), "members")
     discard(sets)
 
     postings = reps.select("id", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("__last")).filter("lead < __last").drop("__last")
+    shared = postings.groupBy("token").agg(F.min("id").alias("__first"), F.max("id").alias("__last")).filter("__first < __last").select("token")
     shared = stored(shared, "shared")
-    regions = stored(postings.join(shared, "token"), "regions")
+    regions = stored(postings.join(shared, "token").withColumn("token", F.col("token").cast("long")), "regions")
     discard(shared)
 
     # first round: everyone against the region's first pivot
-    pairs = regions.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    alone = regions.groupBy("id").agg(F.count(F.lit(1)).alias("__shared")).join(reps.select("id", F.size("prefix").alias("__size")), "id")
+    alone = alone.select("id", (F.col("__size") - F.col("__shared")).alias("alone"))
+    leads = regions.join(alone, "id").groupBy("token").agg(F.min(F.struct("alone", "id")).alias("m")).select("token", F.col("m.id").alias("lead"))
+    regions, before = stored(regions.join(leads, "token").filter("id <> lead"), "regions"), regions
+    discard(before)
+    pairs = regions.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     near = stored(_near_prefixes(pairs, reps), "pairs")
-    found = stored(_distances(near, docs), "distances")
+    found = _distances(near, docs)
     discard(near)
-    edges = _within(found).select("a", "b")
+    edges = stored(_within(found), "edges")
     labels = stored(components(edges), "labels")
-
-    # the distance to the first pivot stays with the region's members, where it is known
-    known = found.select(F.col("a").alias("lead"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("total")).alias("far"))
-    state = regions.join(known, ["lead", "id"], "left").filter("id <> lead").select("token", "id", "far")
+    cells, beyond, boundary = _split_cells(found, reps, labels)
+    state = regions.join(cells, "id", "left").select("token", "id", F.coalesce("cell", "id").alias("cell"))
+    state = _mixed(state.unionByName(beyond).join(reps.select("id", "n"), "id"), labels)
+    discard(regions)
+    near = stored(_near_prefixes(boundary, reps), "pairs")
+    discard(found)
+    edges, labels, fresh = _linked(near, docs, edges, labels, 0)
+    # prefixes of the classes that are still in question
+    reps, before = stored(reps.join(state.select("id").distinct(), "id", "left_semi").select("id", "n", "prefix"), "reps"), reps
+    discard(before)
     width = 1
-    while True:
-        # regions whose members are still in several components
-        sized = state.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = sized.groupBy("token").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).filter("__lo < __hi").select("token")
-        sized = stored(sized.join(mixed, "token").select("token", "id", "far", "component"), "state")
-        if sized.isEmpty():
-            break
-        # the next pivots are the region's smallest ids: each task keeps its first few before any shuffle
-        place = F.row_number().over(Window.partitionBy("token").orderBy("id"))
-        pivots = sized.withColumn("__place", place).filter(F.col("__place") <= width)
-        pivots = pivots.select("token", F.col("id").alias("a"), F.col("far").alias("far_a"), F.col("component").alias("component_a"))
-        pivots = stored(pivots, "pivots")
-        pairs = sized.join(pivots, "token").filter("id <> a and component <> component_a and (far is null or far_a is null or abs(far - far_a) <= 0.25 + 1e-9)")
+    while not state.isEmpty():
+        # the next pivots are members of the smallest cells: each task keeps its first few before any shuffle
+        sizes = state.groupBy("token", "cell").agg(F.count(F.lit(1)).alias("__size"))
+        place = F.row_number().over(Window.partitionBy("token").orderBy("__size", "id"))
+        pivots = state.join(sizes, ["token", "cell"]).withColumn("__place", place).filter(F.col("__place") <= width)
+        pivots = stored(pivots.select("token", F.col("id").alias("a"), F.col("cell").alias("cell_a"), F.col("component").alias("component_a"), F.col("n").alias("n_a")), "pivots")
+        pairs = state.join(pivots, "token").filter("id <> a and component <> component_a and cell <> cell_a and 4 * least(n, n_a) >= 3 * greatest(n, n_a)")
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         near = stored(_near_prefixes(pairs, reps), "pairs")
-        if not near.isEmpty():
-            more = stored(_distances(near, docs), "distances")
-            edges = stored(edges.unionByName(_within(more).select("a", "b")), "edges")
-            labels = stored(components(edges), "labels")
+        edges, labels, fresh = _linked(near, docs, edges, labels, fresh)
         # pivots are settled with all members of their region
-        state = sized.join(pivots.select("token", F.col("a").alias("id")), ["token", "id"], "left_anti").select("token", "id", "far")
-        width = min(width * 4, MOST_PIVOTS)
-    out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+        rest = state.join(pivots.select("token", F.col("a").alias("id")), ["token", "id"], "left_anti").select("token", "id", "cell", "n")
+        before, state = state, _mixed(rest, labels)
+        discard(before)
+        discard(pivots)
+        width = min(width * STEP, MOST_PIVOTS)
+    if fresh:
+        labels = stored(components(edges), "labels")
+    out = members.join(labels, "id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
