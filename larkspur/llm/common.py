@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: White space as the contracts define it: the blank and the bytes 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
