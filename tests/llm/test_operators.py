@@ -247,15 +247,40 @@ def brute_components(pairs_of):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("frequent,pivots,relabel", [(64, 512, 1000), (2, 1, 1)])
-def test_jaccard_components(spark, docs, rows, monkeypatch, frequent, pivots, relabel):
-    monkeypatch.setattr(jaccard, "RELABEL", relabel)
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard, "MOST_PIVOTS", pivots)
+def test_jaccard_components(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "STEP", 4)
     got = {tuple(r) for r in jaccard.link(docs).collect()}
     assert got == brute_components([(r[0], r[1]) for r in rows])
 
 
+def test_jaccard_family_of_altered_copies(spark, monkeypatch):
+    # one original and many copies with one to twelve altered words, some near each other but not the original
+    monkeypatch.setattr(jaccard, "STEP", 8)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(70)]
+    rows = []
+    for k in range(160):
+        own = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([["x"], ["y"], [f"e{k}"], []])
+        rows.append((k, " ".join(own)))
+    got = {tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert len({c for _, _, c in got}) > 10
+
+
+def test_jaccard_one_id_under_several_texts(spark):
+    rng = random.Random(5)
+    x, y = ([f"{c}{k}" for k in range(40)] for c in "xy")
+    near = lambda w: " ".join([*w, "more"])
+    rows = [(1, " ".join(x)), (1, " ".join(y)), (2, near(x)), (3, near(y)), (5, None), (5, near(y) + " too"), (6, "short one"), (6, " ".join(x[:20])), (7, "short one")]
+    rng.shuffle(rows)
+    got = Counter(tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    root = {1: 1, 2: 1, 3: 1, 5: 1, 6: 6, 7: 6}
+    assert got == Counter((i, len(shingle_set(t)), root[i]) for i, t in rows)
+
+
 def test_jaccard_chains_and_bounds(spark):
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
