@@ -47,10 +47,12 @@ from larkspur.llm.components import components
 
 WIDTH = 5
 #: Shingles are counted in cells of so many bits, in slices that are added up apart.
-CELL_BITS = 25
+CELL_BITS = 24
 SLICES = 64
 #: Bits of the table that tells shingles that can't be shared.
-SHARED_BITS = 27
+SHARED_BITS = 26
+#: Ids that may be sent to all executors (8 bytes each); more are joined by a shuffle.
+SENT = 1 << 19
 #: Pivots of a region in the second round, and how many times as many the next round has.
 STEP = 64
 
@@ -112,7 +114,7 @@ def excess_ranks(total: np.ndarray, mean: float) -> np.ndarray:
 
 
 def frequency_ranks(docs: DataFrame) -> bytes:
-    """Ranks of all cells, packed two a byte: 16 MB whatever the input. All documents are counted."""
+    """Ranks of all cells, packed two a byte: 8 MB whatever the input. All documents are counted."""
     bound_batches(docs.sparkSession)
     width = (1 << CELL_BITS) // SLICES
 
@@ -179,7 +181,7 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
 
 
 def _shared_slots(shared: DataFrame) -> bytes:
-    """A table of bits, 16 MB whatever the input: a shingle whose bit is off isn't shared."""
+    """A table of bits, 8 MB whatever the input: a shingle whose bit is off isn't shared."""
     width = (1 << SHARED_BITS) // SLICES
 
     def mark(batches):
@@ -220,6 +222,12 @@ def _postings(reps: DataFrame, slots: bytes) -> DataFrame:
     return reps.select("id", "n", "prefix").mapInArrow(run, "token long, id long, n long, at long")
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be sent to all executors if it is short. The other side of the join, which has texts or
+    prefixes, then stays where it is."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 def _overlap(a: Column, b: Column) -> Column:
     """Least shared shingles of sets of these sizes within the radius: ``100 i >= 75 (a + b - i)``."""
     return F.floor((3 * (a + b) + 6) / 7)
@@ -274,7 +282,7 @@ def _distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     # whole texts are shuffled for the documents in question only
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    texts = stored(docs.join(ids, docs["doc_id"] == ids["id"]).select("id", "text"), "texts")
+    texts = stored(docs.join(_listed(ids), docs["doc_id"] == ids["id"]).select("id", "text"), "texts")
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, inter long, n_a long, n_b long")
@@ -353,9 +361,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     leads = several.filter("__lo < __hi").select("token", (-F.col("m.__id")).alias("a"), F.col("m.n").alias("n_a"), F.col("m.at").alias("at_a"))
     regions = stored(regions.join(leads, "token"), "leads")
     discard(all_regions)
-    kept = regions.select("id").unionByName(regions.select(F.col("a").alias("id"))).distinct()
-    reps, before = stored(reps.join(kept, "id", "left_semi").select("id", "n", "prefix"), "reps"), reps
+    kept = stored(regions.select("id").unionByName(regions.select(F.col("a").alias("id"))).distinct(), "ids")
+    reps, before = stored(reps.join(_listed(kept), "id", "left_semi").select("id", "n", "prefix"), "reps"), reps
     discard(before)
+    discard(kept)
 
     # first round: everyone against the region's first pivot
     pairs = regions.filter(F.col("id") != F.col("a")).filter(_may_meet()).select("a", F.col("id").alias("b")).distinct()
