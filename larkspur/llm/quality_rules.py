@@ -1,13 +1,14 @@
 """Quality rules as a bitmask ledger (DataFrame expressions only).
 
-``measure`` takes each measurement once, ``ledger`` evaluates every rule once and stores the
+``measured`` takes each measurement once, ``ledger`` evaluates every rule once and stores the
 failures as bits beside the measurements, ``apply_policy`` applies a versioned mask, and
 ``ablation`` answers "what would be kept without rule r" from the counts of distinct bitmasks,
 without another look at the texts.
 
 Defined results: a null text counts as empty; an empty text measures 0 everywhere and fails
-``too_few_words``; repeated rows get equal ledgers; an empty table gives an empty ledger. The
-ledger is one struct column, which replaces an input column of the same name.
+``too_few_words``; a long text is measured whole, by its task alone; repeated rows get equal ledgers, and there are
+no ties, as each row is judged by itself; an empty table gives an empty ledger. The ledger is one struct column,
+which replaces an input column of the same name (``__ledger_*`` are names of its own).
 """
 
 from __future__ import annotations
@@ -51,8 +52,12 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(counted)
 
 
-def measure(text: Column) -> Column:
-    """All measurements of a text as one struct. Windows of words are compared by 64-bit hash."""
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts")
+
+
+def measured(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` plus the parts of the measurements, ``__ledger_*``, each a column of its own, so that what follows names
+    it as often as it likes without taking it again. Windows of words are compared by 64-bit hash."""
     text = F.coalesce(text, F.lit(""))
 
     def of_words(w):
@@ -62,19 +67,21 @@ def measure(text: Column) -> Column:
     def of_lines(lines):
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
-    words = let(F.array_remove(F.split(text, SPLIT), ""), of_words)
-    lines = let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""), of_lines)
-    return F.struct(
-        words["n_words"].alias("n_words"),
-        words["word_chars"].alias("word_chars"),
-        (F.size(F.split(text, SYMBOLS)) - 1).cast("long").alias("n_symbols"),
-        lines["n_lines"].alias("n_lines"),
-        lines["n_dup_lines"].alias("n_dup_lines"),
-        words["n_repeat_words"].alias("n_repeat_words"),
-        F.floor((F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("")))) / 2).cast("long").alias("n_shouts"),
+    return df.select(
+        "*",
+        let(F.array_remove(F.split(text, SPLIT), ""), of_words).alias("__ledger_words"),
+        let(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""), of_lines).alias("__ledger_lines"),
+        (F.size(F.split(text, SYMBOLS)) - 1).cast("long").alias("__ledger_symbols"),
+        F.floor((F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("")))) / 2).cast("long").alias("__ledger_shouts"),
     )
 
 
+def _measure(name: str) -> Column:
+    part = {"n_symbols": "symbols", "n_shouts": "shouts", "n_lines": "lines", "n_dup_lines": "lines"}.get(name, "words")
+    found = F.col(f"__ledger_{part}")
+    return found if part in ("symbols", "shouts") else found[name]
+
+
 #: Rule name and the condition of failure over the measurements; the place in the list is the bit.
 RULES = [
     ("too_few_words", lambda m: m["n_words"] < 10),
@@ -101,15 +108,13 @@ def mask_of(policy: str | list[str]) -> int:
 
 def ledger(df: DataFrame, text_col: str = "text", out_col: str = "ledger") -> DataFrame:
     """``df`` plus one struct: the measurements and ``fail_bits``, every rule evaluated once."""
-    found = let(
-        measure(F.col(text_col)),
-        lambda m: F.struct(
-            *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts")],
-            sum((F.when(fails(m), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, fails) in enumerate(RULES)), F.lit(0)).cast("long").alias("fail_bits"),
-        ),
-    )
     rest = clear_of(df, [out_col]) if out_col.lower() != text_col.lower() else df
-    return rest.withColumn(out_col, found)
+    m = {name: _measure(name) for name in MEASURES}
+    bits = sum((F.when(fails(m), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, fails) in enumerate(RULES)), F.lit(0)).cast("long")
+    found = F.struct(*[m[name].alias(name) for name in MEASURES], bits.alias("fail_bits"))
+    keep = [F.col(f"`{c}`") for c in rest.columns if c.lower() != out_col.lower()]
+    # as a generator's output: a filter on the bits isn't moved below it, where it would measure again
+    return measured(rest, F.col(text_col)).select(*keep, F.explode(F.array(found)).alias(out_col))
 
 
 def passes(policy: str | list[str], bits: Column) -> Column:

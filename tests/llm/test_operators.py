@@ -473,9 +473,9 @@ def brute_lines(pairs_of):
     return out
 
 
-@pytest.mark.parametrize("earlier", [512, 1])
-def test_line_dedup(docs, rows, monkeypatch, earlier):
-    monkeypatch.setattr(line_dedup, "MOST_EARLIER", earlier)
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+def test_line_dedup(docs, rows, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "SENT", sent)
     want = brute_lines([(r[0], r[1]) for r in rows])
     got = by_id(line_dedup.removals(docs))
     assert {i: r.removed_lines for i, r in got.items() if r.n_removed} == dict(want)
@@ -496,6 +496,24 @@ def test_line_dedup_variants(spark):
     assert got == dict(brute_lines(rows))
 
 
+def test_lines_of_one_id_in_several_rows(spark):
+    line = "one line with ten words in it and some more"
+    rows = [(1, line + " here"), (1, "something else that has ten words or more in this line"), (2, line + " here"), (2, line + " here too"), (None, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_lines, tuple(r.removed_lines)) for r in line_dedup.removals(df).collect())
+    assert got == Counter({(1, 1, ()): 2, (2, 1, (0,)): 2, (None, 0, ()): 1})
+
+
+def test_many_lines_under_one_word(spark):
+    # 300,000 lines whose only common word is in all of them, and a near copy of every 100,000th
+    rng = np.random.default_rng(3)
+    lines = [f"common {' '.join(f'{x:x}' for x in row)}" for row in rng.integers(0, 1 << 40, (3000, 10))]
+    text = [" ".join(["common", *(f"{k}-{j}" for j in range(9))]) for k in range(300_000)]
+    rows = [(0, "\n".join(text[:150_000])), (1, "\n".join(text[150_000:])), (2, "\n".join(lines)), (3, "\n".join([text[7] + " more", text[200_000] + " more", lines[5] + " more"]))]
+    got = {r.doc_id: r.removed_lines for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_removed}
+    assert got == {3: [0, 1, 2]}
+
+
 def test_line_removal(docs, rows, nothing):
     want = brute_lines([(r[0], r[1]) for r in rows])
     kept = line_dedup.remove_lines(docs)
@@ -728,21 +746,3 @@ def test_webp_refuses_damage():
     for bad in (b"", good[:10], good[:-40], good.replace(b"VP8L", b"VP8X")):
         with pytest.raises(webp.BadImage):
             webp.decode(bad)
-
-
-@pytest.mark.parametrize("held", [1 << 14, 1])
-def test_line_regions_keep_possible_partners(spark, monkeypatch, held):
-    monkeypatch.setattr(line_dedup, "HELD", held)
-    rng = random.Random(12)
-    rows = [(rng.choice([1, 2, 3, 3, 3, 3]) if k % 3 else k, rng.randrange(9, 60), rng.getrandbits(4) | (rng.getrandbits(62) if k % 2 else 0), k, 0) for k in range(400)]
-    df = spark.createDataFrame(rows, "token int, n int, bits long, doc_id long, line_no int")
-    got = {tuple(r) for r in line_dedup._regions(df).collect()}
-    for r in rows:
-        partner = False
-        for q in rows:
-            a, b = sorted((r[1], q[1]))
-            need = -(-9 * (a + b) // 19)
-            if q is not r and q[0] == r[0] and 10 * a >= 9 * b and bin(r[2] ^ q[2]).count("1") <= a + b - 2 * need:
-                partner = True
-        assert not partner or r in got
-        assert held == 1 or partner == (r in got)
