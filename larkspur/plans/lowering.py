@@ -17,6 +17,9 @@ from larkspur.errors import EngineError, missing_column
 from larkspur.functions.types import NUMERIC, Literal, kind_of
 from larkspur.plans.syntax import Aggregate, ColumnRef, Comparison, Condition, InSubquery, Join, Select
 
+#: What Spark takes as the sum of LIMIT and OFFSET.
+MOST_ROWS = (1 << 31) - 1
+
 Resolve = Callable[[str], DataFrame]
 
 
@@ -102,8 +105,11 @@ def _source(select: Select, resolve: Resolve, null_safe: bool) -> tuple[DataFram
     join = select.source
     left, left_fields = _renamed(resolve(join.left), join.left, "l")
     right, right_fields = _renamed(resolve(join.right), join.right, "r")
-    scope = Scope(left_fields + right_fields)
-    a, b = scope.find(join.left_on), scope.find(join.right_on)
+    if join.left == join.right:  # each side of a self-join has a schema of its own
+        a, b = Scope(left_fields).find(join.left_on), Scope(right_fields).find(join.right_on)
+    else:
+        scope = Scope(left_fields + right_fields)
+        a, b = scope.find(join.left_on), scope.find(join.right_on)
     if a not in left_fields or b not in right_fields:
         raise EngineError(f"JOIN must compare a column of '{join.left}' with one of '{join.right}', in this order")
     x, y = F.col(a.name), F.col(b.name)
@@ -161,6 +167,17 @@ def _grouped(df: DataFrame, select: Select, scope: Scope, label) -> tuple[DataFr
     return (df.groupBy(*names).agg(*aggregates) if aggregates else df.select(*names).distinct()), out
 
 
+def _cut(df: DataFrame, offset: int, limit: int | None) -> DataFrame:
+    """OFFSET and LIMIT. Spark counts their sum in 31 bits; beyond that rows are numbered, partition after partition in
+    their order."""
+    if offset + (limit or 0) <= MOST_ROWS:
+        df = df.offset(offset) if offset else df
+        return df if limit is None else df.limit(limit)
+    end = float("inf") if limit is None else offset + limit
+    numbered = df.rdd.zipWithIndex()
+    return df.sparkSession.createDataFrame(numbered.filter(lambda row: offset <= row[1] < end).map(lambda row: row[0]), df.schema)
+
+
 def lower(select: Select, resolve: Resolve, null_safe: bool = False) -> DataFrame:
     """The DataFrame of a SELECT. ``null_safe`` lets NULL keys of a join meet.
 
@@ -195,8 +212,5 @@ def lower(select: Select, resolve: Resolve, null_safe: bool = False) -> DataFram
             column = F.col(Scope(visible).find(ref).name)
             order.append(column.asc_nulls_first() if ascending else column.desc_nulls_last())
         df = df.orderBy(*order)
-    if select.offset:
-        df = df.offset(select.offset)
-    if select.limit is not None:
-        df = df.limit(select.limit)
+    df = _cut(df, select.offset or 0, select.limit)
     return df.toDF(*[name for _, name in out])

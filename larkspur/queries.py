@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import changes
-from larkspur.operators.constraints import duplicates, orphans
-from larkspur.plans.lowering import comparison, lower, scope_of
+from larkspur.operators.constraints import duplicates, failing, orphans, referenced
+from larkspur.plans.lowering import lower
 from larkspur.plans.parser import parse_condition, parse_one
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,13 @@ def run(spark: SparkSession, sf_dir: str, sql: str, names: list[str] | None = No
 SQL: dict[str, tuple[str, list[str] | None, str | None]] = {
     "scan_all": ("SELECT * FROM region", None, None),
     "project_cols": ("SELECT n_name, n_nationkey FROM nation", None, None),
+    "join_self": (
+        "SELECT * FROM nation JOIN nation ON nation.n_nationkey = nation.n_regionkey",
+        ["l_key", "l_name", "l_region", "r_key", "r_name", "r_region"],
+        "SELECT l.n_nationkey AS l_key, l.n_name AS l_name, l.n_regionkey AS l_region, r.n_nationkey AS r_key, r.n_name AS r_name, r.n_regionkey AS r_region FROM nation l JOIN nation r ON l.n_nationkey = r.n_regionkey",
+    ),
+    "join_self_count": ("SELECT COUNT(*) FROM orders JOIN orders ON orders.o_custkey = orders.o_custkey", ["cnt"], "SELECT count(*) AS cnt FROM orders l JOIN orders r ON l.o_custkey = r.o_custkey"),
+    "limit_large": ("SELECT o_orderkey FROM orders WHERE o_custkey < 20 ORDER BY o_orderkey LIMIT 5000000000 OFFSET 3", None, None),
     "filter_eq": ("SELECT * FROM orders WHERE o_custkey = 42", None, None),
     "filter_neq": ("SELECT * FROM nation WHERE n_regionkey != 2", None, None),
     "filter_lt": ("SELECT o_orderkey FROM orders WHERE o_totalprice < 5000", None, None),
@@ -214,10 +221,11 @@ def fk_check_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def check_violation(spark: SparkSession, d: str) -> DataFrame:
-    customer = table(spark, d, "customer")
-    scope = scope_of(customer, "customer")
-    (check,) = parse_condition("c_acctbal > 0")
-    return customer.filter(~F.coalesce(comparison(check, scope), F.lit(False))).select("c_custkey")
+    return failing(table(spark, d, "customer"), "customer", "c_acctbal > 0").select("c_custkey")
+
+
+def fk_restrict(spark: SparkSession, d: str) -> DataFrame:
+    return referenced(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey").select("c_custkey")
 
 
 _HOLED = "(SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN NULL ELSE n_nationkey END AS k FROM nation) t"
@@ -248,6 +256,7 @@ DATAFRAME: dict[str, tuple[Query, str]] = {
     "unique_check_composite": (unique_check_composite, "SELECT l_orderkey, l_suppkey, count(*) AS cnt FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) > 1"),
     "fk_check": (fk_check, "SELECT l_orderkey FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey"),
     "fk_check_found": (fk_check_found, "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 3)"),
+    "fk_restrict": (fk_restrict, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
     "check_violation": (check_violation, "SELECT c_custkey FROM customer WHERE NOT coalesce(c_acctbal > 0, false)"),
 }
 

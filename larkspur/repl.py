@@ -19,7 +19,7 @@ def respond(engine: Engine, line: str) -> list[str]:
         if line.startswith(".vacuum"):
             what = line.split()[1] if len(line.split()) > 1 else "all"
             n = engine.vacuum_all() if what == "all" else engine.vacuum_table(what)
-            return [f"{n} dead row(s) removed"]
+            return [f"Vacuum removed {n} row(s)."]
         if line.startswith("."):
             return [f"Unknown command: {line}"]
         return [str(r) for r in engine.execute_many(line)]

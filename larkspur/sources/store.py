@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -38,7 +39,8 @@ class Store:
             stream.close()
 
     def create(self, text: str, *parts: str) -> bool:
-        """Write a new file as a whole; False, and nothing changed, if there is one of that name already."""
+        """Write a new file as a whole; False, and nothing changed, if there is one of that name already. Local disks
+        (link) and HDFS (rename) take a name once; object stores whose rename replaces files need a single writer."""
         target = self.path(*parts)
         draft = f"{target}.{uuid.uuid4().hex}.draft"
         self._fs.mkdirs(self._path(target).getParent())
@@ -62,5 +64,9 @@ class Store:
         self._fs.delete(self._path(draft), False)
         return False
 
+    def age(self, *parts: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self._fs.getFileStatus(self._path(self.path(*parts))).getModificationTime() / 1000
+
     def delete(self, *parts: str) -> None:
         self._fs.delete(self._path(self.path(*parts)), True)

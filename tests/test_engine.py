@@ -1,6 +1,7 @@
 """Statements against a database directory."""
 
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pytest
@@ -334,7 +335,9 @@ def test_vacuum_and_leftovers(db, spark, tmp_path):
         db.execute(f"INSERT INTO t VALUES ({k}), ({k + 100})")
     db.execute("UPDATE t SET x = 1000 WHERE x >= 100")
     db.execute("DELETE FROM t WHERE x < 5")
-    (tmp_path / "db" / "data" / "t-left-over").mkdir()
+    left = tmp_path / "db" / "data" / "t-left-over"
+    left.mkdir()
+    os.utime(left, (0, 0))
     assert db.vacuum_table("t") == 15 and db.vacuum_all() == 0
     assert len(list((tmp_path / "db" / "data").iterdir())) == 1 and len(list((tmp_path / "db" / "manifests").glob("*.json"))) <= 2
     assert rows(Engine(spark, str(tmp_path / "db")), "SELECT COUNT(*) FROM t") == [(15,)]
@@ -343,11 +346,68 @@ def test_vacuum_and_leftovers(db, spark, tmp_path):
         db.vacuum_table("gone")
 
 
+def test_vacuum_beside_another_session(db, spark, tmp_path):
+    for name in "tu":
+        db.execute(f"CREATE TABLE {name} (x INTEGER)")
+        db.execute(f"INSERT INTO {name} VALUES (1), (2)")
+    other = Engine(spark, str(tmp_path / "db"))
+    other.execute("BEGIN")
+    other.execute("INSERT INTO t VALUES (3)")
+    db.execute("DELETE FROM u WHERE x = 1")
+    assert db.vacuum_table("u") == 1
+    assert rows(other, "SELECT x FROM u ORDER BY x") == [(1,), (2,)]  # as pinned
+    other.execute("COMMIT")
+    assert sorted(rows(db, "SELECT x FROM t")) == [(1,), (2,), (3,)]
+    db.vacuum_all()
+    assert len(list((tmp_path / "db" / "data").iterdir())) == 3 and len(list((tmp_path / "db" / "manifests").glob("*.json"))) == 1
+
+
+def test_vacuum_after_failed_work(db, spark, tmp_path):
+    db.execute("CREATE TABLE t (x INTEGER PRIMARY KEY)")
+    with pytest.raises(EngineError):
+        db.append("t", spark.sql("SELECT 1 AS a, 2 AS b"))
+    with pytest.raises(EngineError):
+        db.append("t", spark.sql("SELECT * FROM VALUES (1), (1)"))
+    refused(db, "INSERT INTO t VALUES (NULL)", "NULL")
+    with pytest.raises(EngineError):
+        db.vacuum_table("gone")
+    assert db.vacuum_all() == 0
+    db.execute("BEGIN")
+    db.execute("INSERT INTO t VALUES (5)")
+    db.execute("ROLLBACK")
+    assert list((tmp_path / "db" / "data").iterdir()) == []
+
+
+def test_self_join_and_null_safe_join(db, spark, tmp_path):
+    db.execute("CREATE TABLE t (a INTEGER, b INTEGER)")
+    db.execute("INSERT INTO t VALUES (1, 2), (2, 2), (NULL, NULL)")
+    assert sorted(rows(db, "SELECT * FROM t JOIN t ON t.a = t.b")) == [(2, 2, 1, 2), (2, 2, 2, 2)]
+    assert rows(db, "SELECT COUNT(*) FROM t JOIN t ON t.a = t.b") == [(2,)]
+    refused(db, "SELECT a FROM t JOIN t ON t.a = t.b", "ambiguous")
+    loose = Engine(spark, str(tmp_path / "db"), null_safe_joins=True)
+    assert rows(loose, "SELECT COUNT(*) FROM t JOIN t ON t.a = t.b") == [(3,)]
+
+
+def test_large_limit_and_offset(db):
+    db.execute("CREATE TABLE t (a INTEGER)")
+    db.execute("INSERT INTO t VALUES (3), (1), (2)")
+    assert rows(db, "SELECT a FROM t ORDER BY a LIMIT 5000000000") == [(1,), (2,), (3,)]
+    assert rows(db, "SELECT a FROM t ORDER BY a LIMIT 18446744073709551615 OFFSET 1") == [(2,), (3,)]
+    assert rows(db, "SELECT a FROM t LIMIT 1 OFFSET 5000000000") == []
+
+
+def test_plan_of_a_join_with_the_index_on_the_left(db):
+    db.execute("CREATE TABLE l (a INTEGER)")
+    db.execute("CREATE TABLE r (b INTEGER)")
+    db.execute("CREATE INDEX l_a ON l (a)")
+    assert db.execute("SELECT * FROM l JOIN r ON l.a = r.b").plan == ["Nested loop join on r.b = l.a", "Seq scan on r", "Index lookup on l"]
+
+
 def test_prompt(db):
     assert respond(db, "CREATE TABLE t (a INTEGER); INSERT INTO t VALUES (1);") == ["Table 't' created successfully", "1 row inserted"]
     assert respond(db, "SELECT a FROM t")[0].splitlines()[-4:] == ["a", "-" * 10, "1", "1 row(s) returned"]
     assert respond(db, "SELEC")[0].startswith("Error:") and respond(db, ".commit") == ["Changes committed"]
-    assert respond(db, ".vacuum t") == ["0 dead row(s) removed"] and respond(db, ".what")[0].startswith("Unknown")
+    assert respond(db, ".vacuum t") == ["Vacuum removed 0 row(s)."] and respond(db, ".what")[0].startswith("Unknown")
 
 
 def test_plans_push_down(db):
