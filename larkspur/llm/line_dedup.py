@@ -155,39 +155,46 @@ def _size_class(n: Column) -> Column:
 
 
 def _meetings(classes: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    """The classes by prefix word and size class, as the smaller (or equal) line of a pair and as the larger one. The
-    smaller one's first words suffice, as no partner of it is smaller still."""
-    rows = classes.filter(F.col("n") >= NEAR).select("doc_id", "line_no", "d1", "n", "bits", *more, F.posexplode("prefix").alias("at", "token"))
+    """The classes by prefix word and size class (``key``), as the smaller (or equal) line of a pair and as the larger one.
+    The smaller one's first words suffice, as no partner of it is smaller still. Size and place of the word
+    share a column, for these rows are most of what is shuffled."""
+    rows = classes.filter(F.col("n") >= NEAR).select("d1", "n", "bits", *more, F.posexplode("prefix").alias("at", "token"))
     n = F.col("n")
     small = rows.filter(F.col("at") <= n - _overlap(n, n)).withColumn("size", F.explode(F.array(_size_class(n), _size_class(n) + 1)))
-    return small, rows.withColumn("size", _size_class(n))
+    large = rows.withColumn("size", _size_class(n))
+    packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("n_at")
+    return tuple(side.select(F.xxhash64("token", "size").alias("key"), "d1", "bits", packed, *more) for side in (small, large))
+
+
+def _size(side: str) -> Column:
+    return F.shiftright(f"{side}.n_at", 32)
 
 
 def _may_match() -> Column:
     """Length, positional and sketch filter for a smaller line ``s`` and a larger one ``l``: each word that only one line has
     turns one bit of a sketch."""
-    n, m = F.col("s.n"), F.col("l.n")
+    n, m = _size("s"), _size("l")
     need = _overlap(n, m)
-    same = (F.col("s.token") == F.col("l.token")) & (F.col("s.size") == F.col("l.size"))
-    near = (n <= m) & (OF * n >= NEAR * m) & (F.col("s.at") <= n - need) & (F.col("l.at") <= m - need)
-    return same & near & (F.bit_count(F.col("s.bits").bitwiseXOR(F.col("l.bits"))) <= n + m - 2 * need)
+    at_s, at_l = (F.col(f"{side}.n_at").bitwiseAND(F.lit(0xFFFFFFFF)) for side in "sl")
+    near = (n <= m) & (OF * n >= NEAR * m) & (at_s <= n - need) & (at_l <= m - need)
+    return (F.col("s.key") == F.col("l.key")) & near & (F.bit_count(F.col("s.bits").bitwiseXOR(F.col("l.bits"))) <= n + m - 2 * need)
 
 
 def _in_question(classes: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, d1)`` of lines that may match another one."""
+    """``d1`` of lines that may match another one."""
     small, large = _meetings(classes)
     small, large = small.alias("s"), large.alias("l")
-    other = (F.col("s.d1") != F.col("l.d1")) | (F.col("s.doc_id") != F.col("l.doc_id")) | (F.col("s.line_no") != F.col("l.line_no"))
-    found = [x.join(y, _may_match() & other, "left_semi").select("doc_id", "line_no", "d1") for x, y in ((small, large), (large, small))]
+    other = F.col("s.d1") != F.col("l.d1")
+    found = [x.join(y, _may_match() & other, "left_semi").select("d1") for x, y in ((small, large), (large, small))]
     return found[0].unionByName(found[1]).distinct()
 
 
 def _matched(lines: DataFrame) -> DataFrame:
     """``(doc_id, line_no, d1)`` of lines that an earlier one is near to, by their words."""
-    small, large = _meetings(lines, "words")
+    small, large = _meetings(lines, "words", "doc_id", "line_no")
     small, large = small.alias("s"), large.alias("l")
     both = F.size(F.array_intersect("s.words", "l.words"))
-    near = OF * both >= NEAR * (F.col("s.n") + F.col("l.n") - both)
+    near = OF * both >= NEAR * (_size("s") + _size("l") - both)
 
     def before(a, b):
         return (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")) | ((F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.line_no") < F.col(f"{b}.line_no")))
@@ -233,7 +240,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(classes.select("at.doc_id", "at.line_no", "n", "d1", "d2", "bits", "prefix"), "classes")
 
     key = ["doc_id", "line_no", "d1"]
-    asked = stored(_in_question(classes), "asked")
+    asked = stored(classes.join(_in_question(classes), "d1", "left_semi").select(*key), "asked")
     some = classes.join(asked, key, "left_semi").join(_wanted_sets(asked, docs).dropDuplicates(key), key)
     some = stored(some, "line-words")
     gone = stored(_matched(some).withColumn("gone", F.lit(True)), "matched")
