@@ -6,12 +6,13 @@ of its tokens' vectors, the length of that mean, and how often its tokens repeat
 one hidden layer maps that to a logit, and a temperature fitted on training rows that the
 network didn't see calibrates the probability.
 
-The model is fitted on the driver from at most ``MAX_TRAIN`` labelled rows (the lowest hashes of
-doc_id, a documented bound); every row of the input is scored, over its whole text.
+The model is fitted on the driver from at most ``MAX_TRAIN`` labelled documents and ``MAX_BYTES`` of their texts
+(the lowest hashes of doc_id, a documented bound); every row of the input is scored, over its whole text.
 
 Defined results: a null or empty text is a text without tokens and gets that vector's score; rows
 with a null label or id aren't learned from; without any labelled row every score is 0.5;
-repeated rows get equal scores. The result has its own columns only.
+repeated rows get equal scores, and a long text is pooled whole, some tokens at a time; ties in the order of the sample
+go by id; an empty table gives no rows. The result has its own columns only.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import hash_spans, map_texts, mix, text_bytes
 
 #: Most labelled rows that a model is fitted on.
 MAX_TRAIN = 5000
+#: Most bytes of text that a model is fitted on.
+MAX_BYTES = 64 << 20
 DIM = 32
 BUCKETS = 1 << 15
 NONZERO = 4
@@ -186,13 +189,22 @@ def train(texts: pa.Array | list, labels: list[int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from labelled rows outside the held-out quarter, ``max_train`` at most."""
+    """Learn from labelled documents outside the held-out quarter: those with the lowest hashes of their ids, ``max_train``
+    rows and ``MAX_BYTES`` of text at most. Of several labels of an id the lowest counts, of several texts one of them."""
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__id is not null and __y in (0, 1)")
     known = known.filter(~held_out(F.col("__id")))
-    # at most max_train ids, 16 bytes each, so the broadcast is bounded
-    ids = known.withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id", "__y").limit(max_train)
-    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"]).select("__h", "__id", F.col(text_col).alias("__text"), "__y")
-    got = rows.orderBy("__h", "__id").limit(max_train).toArrow()
+    known = known.groupBy("__id").agg(F.min("__y").alias("__y"))
+    # ids of documents that have a label, so that labels of other documents take no place; texts are only measured here
+    sizes = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("__size"))
+    sizes = sizes.groupBy("__id").agg(F.max("__size").alias("__size"))
+    ids = known.join(sizes, "__id").withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(max_train)
+    # over max_train rows at most
+    so_far = Window.orderBy("__h", "__id").rowsBetween(Window.unboundedPreceding, 0)
+    ids = ids.withColumn("__so_far", F.sum("__size").over(so_far)).filter(F.col("__so_far") <= MAX_BYTES).select("__id", "__y", "__h")
+    # 24 bytes a row, so the broadcast is bounded
+    text = F.col(text_col).cast("string").alias("__text")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), text).join(F.broadcast(ids), "__id").dropDuplicates(["__id"])
+    got = rows.select("__h", "__id", "__text", "__y").orderBy("__h", "__id").limit(max_train).toArrow()
     return train(got.column("__text").combine_chunks(), got.column("__y").to_pylist())
 
 

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and their edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -359,6 +360,25 @@ def test_fm_index_counts_places():
 
 
 # 6 quality classifier
+def test_classifier_samples_labelled_documents(spark):
+    # far more labels than documents, several labels and rows for one id
+    docs = spark.range(400).selectExpr("id * 5000 as doc_id", "if(id % 2 = 0, repeat(concat('plain words of text ', id, ' '), 9), repeat('!! ## ', 40)) as text")
+    labels = spark.range(2_000_000).selectExpr("id as doc_id", "cast((id div 5000) % 2 = 0 as int) as quality")
+    model = classifier.fit(docs.unionAll(docs.limit(20)), labels.unionAll(labels.limit(10)))
+    got = by_id(classifier.score(docs, model))
+    assert all((got[k * 5000].score >= 0.7) == (k % 2 == 0) for k in range(400))
+
+
+def test_classifier_on_real_labels(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no driver tables here")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = classifier.score(docs, classifier.fit(docs, labels)).join(labels, "doc_id").filter("held_out and quality is not null")
+    row = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double")), F.count("*")).first()
+    assert row[1] > 50 and row[0] >= 0.95
+
+
 def test_classifier_learns(spark):
     rng = random.Random(4)
 
