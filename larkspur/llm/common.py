@@ -29,11 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (local sessions, tests) a temporary folder is set once.
+    Where the setting is absent, a local session (as in tests) gets a temporary folder once; on a cluster that
+    would be a folder which executors don't see, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.larkspur.shared.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.larkspur.shared.dir", found)

@@ -68,4 +68,22 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op2_mixing": OP2}
+OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[p:p + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS p FROM d WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 75 * (a.n + b.n - shared)
+), r AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON r.doc_id = l.x
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root)::BIGINT AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op2_mixing": OP2, "op4_jaccard_join": OP4}

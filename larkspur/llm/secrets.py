@@ -5,14 +5,14 @@ a window slides whose character counts are updated by the one character that ent
 that leaves; windows above the class's entropy are merged into spans. Spans that match an
 allow-list pattern (identifiers that look random but are public) are dropped.
 
-Defined results: null is an empty text and has no spans; positions are code points, ends are
+Defined results: null is an empty text and has no spans; an empty table gives no rows; a long text is scanned whole, by
+its task alone; positions are code points, ends are
 exclusive; repeated rows give equal results; spans are sorted by start and then kind. The result
 has its own columns only, so clashing input names don't matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_texts, ship
+from larkspur.llm.common import map_texts
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -134,9 +134,6 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by ``mark``; all their columns stay."""
 
-    ship(docs.sparkSession)
-
-    @F.udf("string")
     def cut(text):
         if text is None:
             return None
@@ -147,8 +144,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
             at = max(at, b)
         return "".join([*out, text[at:]])
 
-    return docs.withColumn(text_col, cut(F.col(text_col)))
-
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index(text_col)
+        column = pa.array([cut(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays([column if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-def sha256_hex(s: str) -> str:
-    return hashlib.sha256(s.encode()).hexdigest()
+    return map_texts(docs, work, docs.schema, text_col)
