@@ -9,13 +9,13 @@ number, has a Jaccard similarity of 0.9 or more to it (whether that one is remov
    share a cell share a count, and ties go by hash, which keeps the order common to all lines and so
    the join exact.
 3. *Prefix filter:* lines within the threshold share one of the first ``floor(n/10) + 1`` words.
-   Lines of under 9 words only match equal sets. *Length filter:* sizes within 9 to 10. *Positional filter:* at the
-   first word that two lines share, the places of that word bound their overlap. A 64-bit parity sketch of the
-   sets bounds their difference from below. Lines meet by word and class of sizes, so a word that many lines
-   share is split by their sizes.
-4. All this is key and condition of a semi-join of smaller with larger lines, and of the reverse one: what passes is no
-   pair but a line that may match. The words of these lines are fetched, and a last semi-join of later with
-   earlier lines verifies Jaccard on the words themselves. It stops at a line's first match.
+   Lines of under 9 words only match equal sets. *Length filter:* sizes within 9 to 10.
+   *Positional filter:* the shared prefix words and what can follow the last of them bound the overlap.
+   A 64-bit parity sketch of the sets bounds their difference from below. Lines that no other line of
+   a shared prefix word could match by length and sketch go no further.
+4. What passes is verified on the words themselves. In each round, the lines that share a prefix word are held
+   against the earliest of them only; those not yet matched go on to the next ones, 32 times as many a
+   round, until every line is matched or has been held against all earlier ones.
 
 Defined results: a null text has no line, blank lines are neither compared nor removed; a line that
 stands several times in one document stays once; of equal lines the earliest stays. A long text is cut into lines
@@ -26,11 +26,9 @@ table gives no rows. The result has its own columns only; ``remove_lines`` keeps
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import bound_batches, discard, hash_spans, map_texts, mix, pieces, stored, texts_words
@@ -39,8 +37,14 @@ from larkspur.llm.common import bound_batches, discard, hash_spans, map_texts, m
 NEAR, OF = 9, 10
 CELL_BITS = 18
 SLICES = 16
-#: Lines in question whose numbers may be sent to all executors (about 12 bytes each); more are joined by a shuffle.
-SENT = 1 << 18
+MOST_EARLIER = 512
+#: How many times as many earlier lines the next round takes.
+STEP = 32
+#: Rows of a task's sorted postings that are judged at once, a token's end permitting.
+HELD = 1 << 14
+
+#: What a line is known by: rows that share an id may have several lines of one number.
+KEY = ["doc_id", "line_no", "d1"]
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,65 +153,97 @@ def _overlap(a, b):
     return F.floor((NEAR * (a + b) + NEAR + OF - 1) / (NEAR + OF))
 
 
-def _size_class(n: Column) -> Column:
-    """Sizes by powers of 1.12: lines within 9 to 10 are in one class or in neighbours."""
-    return F.floor(F.log(n.cast("double")) / math.log(1.12))
-
-
-def _meetings(classes: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    """The classes by prefix word and size class (``key``), as the smaller (or equal) line of a pair and as the larger one.
-    The smaller one's first words suffice, as no partner of it is smaller still. Size and place of the word
-    share a column, for these rows are most of what is shuffled."""
-    rows = classes.filter(F.col("n") >= NEAR).select("d1", "n", "bits", *more, F.posexplode("prefix").alias("at", "token"))
-    n = F.col("n")
-    small = rows.filter(F.col("at") <= n - _overlap(n, n)).withColumn("size", F.explode(F.array(_size_class(n), _size_class(n) + 1)))
-    large = rows.withColumn("size", _size_class(n))
-    packed = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("n_at")
-    return tuple(side.select(F.xxhash64("token", "size").alias("key"), "d1", "bits", packed, *more) for side in (small, large))
+def _similar(a, b, x, y):
+    """The length filter, and the parity sketches ``x`` and ``y``: each word that only one line has turns one bit."""
+    return (OF * F.least(a, b) >= NEAR * F.greatest(a, b)) & (F.bit_count(x.bitwiseXOR(y)) <= a + b - 2 * _overlap(a, b))
 
 
-def _size(side: str) -> Column:
-    return F.shiftright(f"{side}.n_at", 32)
+def _differ(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """:func:`_similar` for arrays: sketches ``x``, ``y`` and sizes ``a <= b``; True where a pair is ruled out."""
+    need = (NEAR * (a + b) + NEAR + OF - 1) // (NEAR + OF)
+    return np.bitwise_count(x ^ y) > a + b - 2 * need
 
 
-def _may_match() -> Column:
-    """Length, positional and sketch filter for a smaller line ``s`` and a larger one ``l``: each word that only one line has
-    turns one bit of a sketch."""
-    n, m = _size("s"), _size("l")
-    need = _overlap(n, m)
-    at_s, at_l = (F.col(f"{side}.n_at").bitwiseAND(F.lit(0xFFFFFFFF)) for side in "sl")
-    near = (n <= m) & (OF * n >= NEAR * m) & (at_s <= n - need) & (at_l <= m - need)
-    return (F.col("s.key") == F.col("l.key")) & near & (F.bit_count(F.col("s.bits").bitwiseXOR(F.col("l.bits"))) <= n + m - 2 * need)
+def partners(token: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Rows, sorted by token and size, that length and parity allow to match another row of their token.
 
-
-def _in_question(classes: DataFrame) -> DataFrame:
-    """``d1`` of lines that may match another one."""
-    small, large = _meetings(classes)
-    small, large = small.alias("s"), large.alias("l")
-    other = F.col("s.d1") != F.col("l.d1")
-    found = [x.join(y, _may_match() & other, "left_semi").select("d1") for x, y in ((small, large), (large, small))]
-    return found[0].unionByName(found[1]).distinct()
+    Row ``i`` meets row ``i + d`` for growing ``d``, all rows in step, as long as the other is no more than 10/9 its size."""
+    out = np.zeros(len(token), bool)
+    live, d = np.arange(len(token)), 0
+    while len(live):
+        d += 1
+        live = live[live + d < len(token)]
+        live = live[(token[live + d] == token[live]) & (OF * n[live] >= NEAR * n[live + d])]
+        match = live[~_differ(bits[live], bits[live + d], n[live], n[live + d])]
+        out[match] = out[match + d] = True
+    return out
 
 
-def _matched(lines: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, d1)`` of lines that an earlier one is near to, by their words."""
-    small, large = _meetings(lines, "words", "doc_id", "line_no")
-    small, large = small.alias("s"), large.alias("l")
-    both = F.size(F.array_intersect("s.words", "l.words"))
-    near = OF * both >= NEAR * (_size("s") + _size("l") - both)
+def _regions(postings: DataFrame) -> DataFrame:
+    """Of ``(token, n, bits, doc_id, line_no, d1)``, the rows that may match another of their token. Rows come sorted, and are
+    held only until their token ends; a token of more than ``HELD`` rows is passed on whole, unjudged."""
 
-    def before(a, b):
-        return (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")) | ((F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.line_no") < F.col(f"{b}.line_no")))
+    def judge(held):
+        tab = pa.Table.from_batches(held).combine_chunks()
+        keep = partners(*[tab.column(k).to_numpy() for k in (0, 1)], tab.column(2).to_numpy().view(np.uint64))
+        return [b for b in tab.filter(pa.array(keep)).to_batches() if b.num_rows]
 
-    found = [x.join(y, _may_match() & before(b, a) & near, "left_semi").select("doc_id", "line_no", "d1") for x, y, a, b in ((small, large, "s", "l"), (large, small, "l", "s"))]
-    return found[0].unionByName(found[1]).distinct()
+    def run(batches):
+        held, size, passed = [], 0, None  # passed: the token that is being passed on
+        for batch in batches:
+            token = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]]).tolist()
+            for a, z in ((cuts[0], cuts[1]), (cuts[1], cuts[-2]), (cuts[-2], cuts[-1])) if len(cuts) > 2 else ((0, len(token)),):
+                if z <= a:
+                    continue
+                part, first = batch.slice(a, z - a), token[a]
+                if passed is not None and first == passed:
+                    yield part
+                    continue
+                passed = None
+                same = bool(held) and held[-1].column(0)[held[-1].num_rows - 1].as_py() == first
+                if held and not same and size >= HELD:
+                    yield from judge(held)
+                    held, size = [], 0
+                held.append(part)
+                size += z - a
+                if size >= 16 * HELD and same:
+                    # one token fills what is held: judge what came before it, pass on the rest
+                    tab = pa.Table.from_batches(held).combine_chunks()
+                    at = int(np.searchsorted(tab.column(0).to_numpy(), first))
+                    if at:
+                        yield from judge(tab.slice(0, at).to_batches())
+                    yield from tab.slice(at).to_batches()
+                    held, size, passed = [], 0, first
+        if held:
+            yield from judge(held)
+
+    bound_batches(postings.sparkSession)
+    rows = postings.select("token", "n", "bits", "doc_id", "line_no", "d1").repartition(F.col("token")).sortWithinPartitions("token", "n")
+    return rows.mapInArrow(run, "token long, n int, bits long, doc_id long, line_no int, d1 long")
+
+
+def _matches(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The later lines ``(doc_id, line_no, d1)`` of the pairs within the threshold: the positional filter, then the words.
+    ``lines`` has prefix and words of all lines in question."""
+
+    def side(s):
+        return lines.select(*[F.col(c).alias(f"{s}_{c}") for c in (*KEY, "prefix", "words")])
+
+    rows = pairs.join(side("x"), [f"x_{c}" for c in KEY]).join(side("y"), [f"y_{c}" for c in KEY])
+    a, b = F.size("x_words"), F.size("y_words")
+    rows = rows.withColumn("__shared", F.array_intersect("x_prefix", "y_prefix")).filter(F.size("__shared") > 0)
+    last = F.try_element_at("__shared", F.lit(-1))
+    after = F.least(a - F.array_position("x_prefix", last), b - F.array_position("y_prefix", last))
+    rows = rows.filter(F.size("__shared") + after >= _overlap(a, b))
+    both = F.size(F.array_intersect("x_words", "y_words"))
+    near = rows.filter(OF * both >= NEAR * (a + b - both))
+    return near.select(*[F.col(f"x_{c}").alias(c) for c in KEY]).distinct()
 
 
 def _wanted_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, d1, words)`` of the lines in ``needed``, from the texts."""
     numbers = needed.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers"))
-    if needed.count() <= SENT:
-        numbers = F.broadcast(numbers)
     bound_batches(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,7 +264,7 @@ def _wanted_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
         return np.asarray(values).max(initial=0)
 
     rows = docs.join(numbers, "doc_id").select("doc_id", "text", "numbers")
-    return map_texts(rows, work, "doc_id long, line_no int, d1 long, words array<long>")
+    return map_texts(rows, work, "doc_id long, line_no int, d1 long, words array<long>").dropDuplicates(KEY)
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -239,14 +275,39 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = lines.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = stored(classes.select("at.doc_id", "at.line_no", "n", "d1", "d2", "bits", "prefix"), "classes")
 
-    key = ["doc_id", "line_no", "d1"]
-    asked = stored(classes.join(_in_question(classes), "d1", "left_semi").select(*key), "asked")
-    some = classes.join(asked, key, "left_semi").join(_wanted_sets(asked, docs).dropDuplicates(key), key)
-    some = stored(some, "line-words")
-    gone = stored(_matched(some).withColumn("gone", F.lit(True)), "matched")
-    discard(some)
-    discard(asked)
-    keys = classes.join(gone, key, "left").select("d1", "d2", "n", F.col("doc_id").alias("f_doc_id"), F.col("line_no").alias("f_line_no"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    postings = classes.filter("n >= 9").select(*KEY, "n", "bits", F.explode("prefix").alias("token"))
+    state = stored(_regions(postings), "regions")
+    # the words of all lines in question, fetched once
+    asked = state.select(*KEY).distinct()
+    words = _wanted_sets(asked, docs).join(classes.select(*KEY, "prefix"), KEY)
+    words = stored(words, "line-words")
+    matched, width = None, 1
+    while not state.isEmpty():
+        place = F.row_number().over(Window.partitionBy("token").orderBy(*KEY))
+        early = state.withColumn("__place", place).filter(F.col("__place") <= width).select("token", F.col("doc_id").alias("y_doc_id"), F.col("line_no").alias("y_line_no"), F.col("d1").alias("y_d1"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits"))
+        early = stored(early, "early")
+        probes = state if matched is None else state.join(matched, KEY, "left_anti")
+        # held against each other inside the join: what leaves it is nearly always a match
+        pairs = probes.join(early, "token").filter("y_doc_id < doc_id or (y_doc_id = doc_id and y_line_no < line_no)")
+        pairs = pairs.filter(_similar(F.col("n"), F.col("y_n"), F.col("bits"), F.col("y_bits")))
+        pairs = pairs.select(*[F.col(c).alias(f"x_{c}") for c in KEY], *[f"y_{c}" for c in KEY]).distinct()
+        found = stored(_matches(pairs, words), "matched")
+        if not found.isEmpty():
+            matched = found if matched is None else stored(matched.unionByName(found), "matched")
+        # those just used are settled; a group goes on while a line in it is unmatched
+        settled = early.select("token", *[F.col(f"y_{c}").alias(c) for c in KEY])
+        rest = state.join(settled, ["token", *KEY], "left_anti")
+        live = rest if matched is None else rest.join(matched, KEY, "left_anti")
+        live = live.groupBy("token").agg(F.count(F.lit(1)).alias("__n")).select("token")
+        before, state = state, stored(rest.join(live, "token", "left_semi"), "regions")
+        discard(before)
+        width = min(STEP * width, MOST_EARLIER)
+    keys = classes.select("d1", "d2", "n", F.col("doc_id").alias("f_doc_id"), F.col("line_no").alias("f_line_no"))
+    if matched is not None:
+        gone = matched.select(F.col("doc_id").alias("f_doc_id"), F.col("line_no").alias("f_line_no"), "d1", F.lit(True).alias("gone"))
+        keys = keys.join(gone, ["f_doc_id", "f_line_no", "d1"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    else:
+        keys = keys.withColumn("gone", F.lit(False))
     every = lines.select("doc_id", "line_no", "n", "d1", "d2")
     removed = every.join(keys, ["d1", "d2", "n"]).filter("gone or doc_id <> f_doc_id or line_no <> f_line_no").select("doc_id", "line_no")
     return every.select("doc_id", "line_no"), removed

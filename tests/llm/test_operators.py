@@ -493,9 +493,9 @@ def brute_lines(pairs_of):
     return out
 
 
-@pytest.mark.parametrize("sent", [1 << 18, 0])
-def test_line_dedup(docs, rows, monkeypatch, sent):
-    monkeypatch.setattr(line_dedup, "SENT", sent)
+@pytest.mark.parametrize("earlier", [512, 1])
+def test_line_dedup(docs, rows, monkeypatch, earlier):
+    monkeypatch.setattr(line_dedup, "MOST_EARLIER", earlier)
     want = brute_lines([(r[0], r[1]) for r in rows])
     got = by_id(line_dedup.removals(docs))
     assert {i: r.removed_lines for i, r in got.items() if r.n_removed} == dict(want)
@@ -766,3 +766,21 @@ def test_webp_refuses_damage():
     for bad in (b"", good[:10], good[:-40], good.replace(b"VP8L", b"VP8X")):
         with pytest.raises(webp.BadImage):
             webp.decode(bad)
+
+
+@pytest.mark.parametrize("held", [1 << 14, 1])
+def test_line_regions_keep_possible_partners(spark, monkeypatch, held):
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 2, 3, 3, 3, 3]) if k % 3 else k, rng.randrange(9, 60), rng.getrandbits(4) | (rng.getrandbits(62) if k % 2 else 0), k, 0, k) for k in range(400)]
+    df = spark.createDataFrame(rows, "token long, n int, bits long, doc_id long, line_no int, d1 long")
+    got = {tuple(r) for r in line_dedup._regions(df).collect()}
+    for r in rows:
+        partner = False
+        for q in rows:
+            a, b = sorted((r[1], q[1]))
+            need = -(-9 * (a + b) // 19)
+            if q is not r and q[0] == r[0] and 10 * a >= 9 * b and bin(r[2] ^ q[2]).count("1") <= a + b - 2 * need:
+                partner = True
+        assert not partner or r in got
+        assert held == 1 or partner == (r in got)
