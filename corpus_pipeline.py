@@ -8,7 +8,13 @@
 5. ``sentencepiece``: texts become ids, and are decoded again.
 
 Stages 1 to 4 return the columns of documents; ``n_chars`` follows the text where a stage changes
-it. Ids are expected to be unique in the first stage's input.
+it.
+
+Defined results: null and empty texts fail stage 1 (too few words) and go there; a null source is a source of its own;
+a null id stays through stages 1 to 4, links with nothing and loses no line. Ids are expected to be unique in the first
+stage's input; rows that share one are one document to stages 2 and 3 and are taken alike by stage 4. Ties go
+by id. Long texts are taken whole by every stage. An empty table gives an empty result. Extra columns, also
+ones named like an operator's own results, pass through stages 1 to 4.
 """
 
 from __future__ import annotations
