@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -19,7 +20,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 
 #: Arrow batches are cut into pieces of about so many bytes of text before Python works on them.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +89,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             stop = max(start + 1, int(np.searchsorted(ends, base + PIECE_BYTES, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Give back to the system what a task has freed: workers stay for later tasks, and would keep it beside
+    the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def ship(spark: SparkSession) -> None:

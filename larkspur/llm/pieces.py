@@ -23,11 +23,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_texts
+from larkspur.llm.common import bound_batches, pieces, release
 
 MARK = "▁"
-#: Distinct chunks kept by a Python worker; beyond that the table starts anew, which costs time only.
-TABLE_ROWS = 400_000
+#: Distinct chunks kept by a task; beyond that the table starts anew, which costs time only.
+TABLE_ROWS = 200_000
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Texts that a normaliser other than the identity would change.
@@ -51,6 +51,7 @@ class ChunkTable:
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.chunked, self.rows = chunkable(self.library), rows
         self.ids: dict[str, str] = {}
+        #: Decoded texts that differ from their chunk.
         self.texts: dict[str, str] = {}
         self.end = str(self.library.eos_id())
 
@@ -61,7 +62,12 @@ class ChunkTable:
         ids = [i or lone for i in ids]
         for c, i, t in zip(chunks, ids, self.library.decode(ids, num_threads=1)):
             self.ids[c] = " ".join(map(str, i))
-            self.texts[c] = c if c == t else t
+            if c != t:
+                self.texts[c] = t
+
+    def clear(self) -> None:
+        self.ids.clear()
+        self.texts.clear()
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -80,8 +86,7 @@ class ChunkTable:
             return out
         split = [self.split(t) if t else None for t in texts]
         if len(self.ids) > self.rows:
-            self.ids.clear()
-            self.texts.clear()
+            self.clear()
         new: set[str] = set()
         for chunks in split:
             if chunks:
@@ -89,11 +94,11 @@ class ChunkTable:
         new.difference_update(self.ids)
         if new:
             self._learn(list(new))
-        id_of, text_of, out = self.ids.__getitem__, self.texts.__getitem__, []
+        id_of, text_of, out = self.ids.__getitem__, self.texts.get, []
         for chunks in split:
             if chunks:
                 ids = " ".join(map(id_of, chunks)) + " " + self.end
-                out.append((ids, ids.count(" ") + 1, " ".join(map(text_of, chunks))))
+                out.append((ids, ids.count(" ") + 1, " ".join(map(text_of, chunks, chunks))))
             else:
                 out.append((self.end, 1, ""))
         return out
@@ -122,8 +127,8 @@ def encode(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id
     the tokenizers' package or sent with ``addFile``."""
     model = model_file or default_model()
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _table(_local(model)).encode_decode([t or "" for t in batch.column(1).to_pylist()])
+    def work(table: ChunkTable, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = table.encode_decode([t or "" for t in batch.column(1).to_pylist()])
         n = pa.array([f[1] for f in found], pa.int64())
         if with_ids:
             values = np.fromstring(" ".join(f[0] for f in found), dtype=np.int32, sep=" ")
@@ -133,6 +138,15 @@ def encode(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id
         cols = [pa.array([hashlib.sha256(f[k].encode()).hexdigest() for f in found], pa.string()) for k in (0, 2)]
         return pa.RecordBatch.from_arrays([batch.column(0), n, *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    def run(batches):
+        table = _table(_local(model))
+        for piece in pieces(batches):
+            yield work(table, piece)
+        # the model stays with the worker, the chunks don't
+        table.clear()
+        release()
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tail = "ids array<int>, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string"
-    return map_texts(rows, work, f"doc_id long, n_tokens long, {tail}")
+    bound_batches(docs.sparkSession)
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, {tail}")
