@@ -3,14 +3,15 @@
 The reader covers the format: prefix codes (simple, and coded by code lengths), meta prefix
 codes, back-references with the two-dimensional distance map, the colour cache, and the inverse
 predictor, cross-colour, subtract-green and palette (with pixel bundling) transforms. Streams of literals
-with codes of one fixed length, as :func:`encode` writes them, are unpacked in one numpy step;
-all others symbol by symbol.
+with codes of one fixed length, as :func:`encode_grey` writes them, are unpacked in one numpy step;
+all others symbol by symbol, or many images in step (:mod:`larkspur.llm.webp_many`).
 """
 
 from __future__ import annotations
 
 import struct
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 
@@ -185,8 +186,16 @@ def _unpack_fixed(bits: Bits, codes: list[Code], n: int) -> np.ndarray | None:
     return out
 
 
-def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
-    """Entropy-coded pixels as ARGB, row by row."""
+class Entropy(NamedTuple):
+    """What stands before entropy-coded pixels: colour cache, meta codes and groups of five prefix codes."""
+
+    cache_bits: int
+    shift: int
+    meta: list[int] | None
+    groups: list[list[Code]]
+
+
+def read_codes(bits: Bits, width: int, height: int, top: bool) -> Entropy:
     cache_bits = 0
     if bits.read(1):
         cache_bits = bits.read(4)
@@ -200,12 +209,17 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         meta = ((found >> np.uint32(8)) & np.uint32(0xFFFF)).astype(int).tolist()
         groups = max(meta) + 1
     cache_size = (1 << cache_bits) if cache_bits else 0
-    all_codes = [[_read_code(bits, size) for size in (256 + 24 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
-    n = width * height
-    if groups == 1 and not cache_bits and (fast := _unpack_fixed(bits, all_codes[0], n)) is not None:
+    return Entropy(cache_bits, shift, meta, [[_read_code(bits, size) for size in (256 + 24 + cache_size, 256, 256, 256, 40)] for _ in range(groups)])
+
+
+def read_symbols(bits: Bits, entropy: Entropy, width: int, height: int) -> np.ndarray:
+    """The pixels that follow, as ARGB, row by row."""
+    cache_bits, shift, meta, all_codes = entropy
+    n, meta_width = width * height, -(-width >> shift)
+    if len(all_codes) == 1 and not cache_bits and (fast := _unpack_fixed(bits, all_codes[0], n)) is not None:
         return fast
     out = [0] * n
-    cache = [0] * cache_size
+    cache = [0] * ((1 << cache_bits) if cache_bits else 0)
     codes, cached, at = all_codes[0], 0, 0
     while at < n:
         if meta is not None:
@@ -241,6 +255,10 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
+def _pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
+    return read_symbols(bits, read_codes(bits, width, height, top), width, height)
+
+
 def _split(argb: np.ndarray) -> np.ndarray:
     """Channels A, R, G, B as the last axis."""
     return argb.astype(">u4").view(np.uint8).reshape(*argb.shape, 4)
@@ -372,8 +390,9 @@ def _unbundle(argb: np.ndarray, palette: np.ndarray, width: int) -> np.ndarray:
     return full[index]
 
 
-def _image(bits: Bits, width: int, height: int) -> np.ndarray:
-    undo, seen, real_width = [], set(), width
+def read_transforms(bits: Bits, width: int, height: int) -> tuple[list, int]:
+    """Transforms in the order of the stream, and the width of the image that they leave."""
+    steps, seen = [], set()
     while bits.read(1):
         kind = bits.read(2)
         if kind in seen:
@@ -382,16 +401,20 @@ def _image(bits: Bits, width: int, height: int) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOUR):
             shift = bits.read(3) + 2
             w, h = -(-width >> shift), -(-height >> shift)
-            undo.append((kind, _pixels(bits, w, h, False).reshape(h, w), shift))
+            steps.append((kind, _pixels(bits, w, h, False).reshape(h, w), shift))
         elif kind == PALETTE:
             deltas = _pixels(bits, bits.read(8) + 1, 1, False)
             palette = _join(np.cumsum(_split(deltas), axis=0, dtype=np.uint8))
-            undo.append((kind, palette, width))
+            steps.append((kind, palette, width))
             width = -(-width >> _bundle_shift(len(palette)))
         else:
-            undo.append((kind, None, 0))
-    argb = _pixels(bits, width, height, True).reshape(height, width)
-    for kind, data, number in reversed(undo):
+            steps.append((kind, None, 0))
+    return steps, width
+
+
+def undo(argb: np.ndarray, steps: list) -> np.ndarray:
+    """The picture itself, from what the transforms left."""
+    for kind, data, number in reversed(steps):
         if kind == PREDICTOR:
             argb = predict(argb, (data >> np.uint32(8)) & np.uint32(15), number)
         elif kind == CROSS_COLOUR:
@@ -400,11 +423,11 @@ def _image(bits: Bits, width: int, height: int) -> np.ndarray:
             argb = subtract_green(argb)
         else:
             argb = _unbundle(argb, data, number)
-    return argb[:, :real_width]
+    return argb
 
 
-def decode(data: bytes) -> np.ndarray:
-    """ARGB pixels, uint32, of a simple lossless WebP file."""
+def opened(data: bytes) -> tuple[Bits, int, int]:
+    """The stream after its header, width and height of a simple lossless WebP file."""
     if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise BadImage("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
@@ -415,7 +438,14 @@ def decode(data: bytes) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise BadImage("an unknown version")
-    return _image(bits, width, height)
+    return bits, width, height
+
+
+def decode(data: bytes) -> np.ndarray:
+    """ARGB pixels, uint32, of a simple lossless WebP file."""
+    bits, width, height = opened(data)
+    steps, inner = read_transforms(bits, width, height)
+    return undo(_pixels(bits, inner, height, True).reshape(height, inner), steps)[:, :width]
 
 
 class BitWriter:

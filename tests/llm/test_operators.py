@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import classifier, common, fm_index, jaccard, licenses, line_dedup, media, mixing, pieces, quality_rules, secrets, substrings, webp
+from larkspur.llm import classifier, common, fm_index, jaccard, licenses, line_dedup, media, mixing, pieces, quality_rules, secrets, substrings, webp, webp_many
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -553,7 +553,59 @@ def test_payload_round_trip(n):
     data = bytes(random.Random(n).choices(range(32, 127), k=min(n, 5000))) * (n // 5000 + 1)
     payload = media.padded(data[:n])
     assert len(payload) % 64 == 0 and payload[:n] == data[:n] and not any(payload[n:]) and len(payload) - max(n, 1) < 64
-    assert media.restore(media.store(payload))[0] == payload
+    stored = media.store_many([payload])
+    assert media.restore_many(stored)[0].tobytes() == payload
+    # the plain reader sees the same
+    assert b"".join((webp.decode(f) & 255).astype(np.uint8).tobytes() for f in media.files(stored[0])) == payload
+
+
+def test_query_streams_are_read_by_symbol(rows, monkeypatch):
+    """What the query writes has back-references, prefix codes of several lengths and cross-colour."""
+    texts = [media.padded((r[1] or "").encode()) for r in rows]
+    seen = {"step": 0, "alone": 0, "back": 0, "cross": 0, "palette": 0}
+    in_step, cross, unbundle, finish = webp_many.read_in_step, webp.cross_colour, webp._unbundle, webp_many._finish
+
+    def counted(jobs):
+        seen["step"] += len(jobs)
+        assert any(c[0].width is None for _, c, _, _ in jobs)
+        seen["back"] += sum(c[4].lone is None for _, c, _, _ in jobs)
+        return in_step(jobs)
+
+    monkeypatch.setattr(webp_many, "read_in_step", counted)
+    monkeypatch.setattr(webp_many, "_finish", lambda *a: (seen.__setitem__("alone", seen["alone"] + 1), finish(*a)))
+    monkeypatch.setattr(webp, "cross_colour", lambda *a: (seen.__setitem__("cross", seen["cross"] + 1), cross(*a))[1])
+    monkeypatch.setattr(webp, "_unbundle", lambda *a: (seen.__setitem__("palette", seen["palette"] + 1), unbundle(*a))[1])
+    planes = media.restore_many(media.store_many(texts))
+    assert [p.tobytes() for p in planes] == texts
+    assert all(seen.values()) and seen["step"] > len(rows) / 2, seen
+
+
+@pytest.mark.parametrize("kind", ["flat", "noise", "steep", "repeats", "two"])
+def test_images_in_step(kind):
+    rng = np.random.default_rng(5)
+    images = []
+    for k in range(90):
+        size = 64 * int(rng.integers(1, 65))
+        if kind == "noise":
+            flat = rng.integers(0, 256, size)
+        elif kind == "steep":  # counts like Fibonacci numbers, for codes that would be too long
+            flat = np.minimum(rng.geometric(0.4, size), 40) + 20 * (np.arange(size) < 40) * (np.arange(size) % 20)
+        elif kind == "repeats":
+            flat = np.resize(rng.integers(0, 256, int(rng.integers(17, 400))), size)
+        else:
+            flat = np.full(size, k) if kind == "flat" else np.resize(np.arange(17), size)
+        images.append(flat.astype(np.uint8).reshape(-1, 64))
+    files = webp_many.encode_many(images)
+    assert all((argb == (0xFF000000 | image.astype(np.uint32) * 0x010101)).all() for argb, image in zip(webp_many.decode_many(files), images))
+    assert all((webp.decode(f) & 255 == image).all() for f, image in zip(files[:9], images))
+    damaged = [f for f in files if len(f) > 90]
+    for f in damaged[:50]:
+        bad = bytearray(f)
+        bad[60:] = bytes(len(f) - 60)
+        try:
+            webp_many.decode_many([bytes(bad)] * 60)
+        except webp.BadImage:
+            pass
 
 
 def test_media_columns(docs, rows, nothing):
