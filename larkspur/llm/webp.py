@@ -131,19 +131,31 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         if left > alphabet:
             raise BadImage("too many code lengths")
     s, before = 0, 8
+    # no length takes more than 7 + 7 bits
+    begin = bits.at >> 3
+    word = int.from_bytes(bits.data[begin : begin + 2 * alphabet + 8], "little") >> (bits.at & 7)
+    if coder.lone is None and coder.table is None:
+        coder._fill()
+    table, mask, used = coder.table or [(coder.lone, 0)], (1 << coder.longest) - 1 if coder.lone is None else 0, 0
     while s < alphabet and left:
         left -= 1
-        n = coder.read(bits)
+        n, size = table[word >> used & mask]
+        used += size
         if n < 16:
             lengths[s] = n
             s += 1
             before = n or before
             continue
-        repeat = 3 + bits.read(2) if n == 16 else 3 + bits.read(3) if n == 17 else 11 + bits.read(7)
+        size, least = ((2, 3), (3, 3), (7, 11))[n - 16]
+        repeat = least + (word >> used & ((1 << size) - 1))
+        used += size
         if s + repeat > alphabet:
             raise BadImage("too many code lengths")
         lengths[s : s + repeat] = [before if n == 16 else 0] * repeat
         s += repeat
+    bits.at += used
+    if bits.at > bits.end:
+        raise BadImage("the stream ends early")
     return _code(bytes(lengths))
 
 
@@ -353,6 +365,8 @@ def predict(argb: np.ndarray, modes: np.ndarray, shift: int, inverse: bool = Tru
 def cross_colour(argb: np.ndarray, factors: np.ndarray, shift: int, inverse: bool = True) -> np.ndarray:
     """Undo (or apply) the cross-colour transform; ``factors``: ARGB by block."""
     height, width = argb.shape
+    if factors.size == 1 and inverse:
+        return _one_factor(argb, int(factors[0, 0]))
     by_pixel = factors[np.arange(height)[:, None] >> shift, np.arange(width)[None, :] >> shift]
     f = _split(by_pixel).view(np.int8).astype(np.int32)
     red_to_blue, green_to_blue, green_to_red = f[..., 1], f[..., 2], f[..., 3]
@@ -366,6 +380,20 @@ def cross_colour(argb: np.ndarray, factors: np.ndarray, shift: int, inverse: boo
     return _join(c)
 
 
+def _one_factor(argb: np.ndarray, factor: int) -> np.ndarray:
+    """The inverse where all pixels share their factors: what to add is looked up by colour."""
+    signed = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int32)
+    red_to_blue, green_to_blue, green_to_red = ((((((factor >> k) & 255) ^ 128) - 128) * signed >> 5).astype(np.uint8) for k in (16, 8, 0))
+    c = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(*argb.shape, 4)  # B, G, R, A
+    out = c.copy()
+    green = c[..., 1]
+    out[..., 2] += green_to_red[green]
+    out[..., 0] += green_to_blue[green]
+    if red_to_blue.any():
+        out[..., 0] += red_to_blue[out[..., 2]]
+    return out.view("<u4")[..., 0]
+
+
 def subtract_green(argb: np.ndarray, inverse: bool = True) -> np.ndarray:
     c = _split(argb).copy()
     green = c[..., 2]

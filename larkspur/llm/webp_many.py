@@ -145,7 +145,7 @@ def _references(flat: np.ndarray, of: np.ndarray, ends: np.ndarray) -> tuple[np.
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     back[at[order[same + 1]]] = at[order[same + 1]] - at[order[same]]
     last = np.append(np.flatnonzero(back[1:] != back[:-1]), n)  # of runs at one distance
-    run = last[np.searchsorted(last, np.arange(n))]
+    run = np.repeat(last, np.diff(last, prepend=-1))[:n]
     return back[:n], np.where(back[:n] > 0, np.minimum(run - np.arange(n) + SHORTEST, FARTHEST), 0)
 
 
@@ -218,17 +218,31 @@ def _encode(images: list[np.ndarray]) -> list[bytes]:
     for bits, more in ((long_bits, long_more), (back_bits[image[ref], far_symbol], back_code[image[ref], far_symbol]), (far_bits, far_more)):
         value[ref] |= more << total[ref]
         total[ref] += bits
-    cut = np.searchsorted(image, np.arange(len(rich) + 1)).tolist()
+    heads = [_header(width, images[k].shape[0], green_size[j], back_size[j]) for j, k in enumerate(rich)]
+    first = np.searchsorted(image, np.arange(len(rich)))
+    bits = np.array([n for _, n in heads]) + np.add.reduceat(total, first)
+    base = np.cumsum((bits + 63) >> 6) - ((bits + 63) >> 6)  # each image begins a word
+    lead = base * 64 + np.array([n for _, n in heads]) - (np.cumsum(total) - total)[first]
+    stream = _words(value.view(np.uint64), total, lead[image] + np.cumsum(total) - total, int(((bits + 63) >> 6).sum()))
     for j, k in enumerate(rich):
-        head, bits = _header(width, images[k].shape[0], green_size[j], back_size[j])
-        first = np.unpackbits(np.frombuffer(head.to_bytes((bits + 7) // 8, "little"), np.uint8), bitorder="little")[:bits]
-        sizes = total[cut[j] : cut[j + 1]]
-        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        body = ((np.repeat(value[cut[j] : cut[j + 1]], sizes) >> inner) & 1).astype(np.uint8)
-        out[k] = webp._riff(np.packbits(np.concatenate([first, body]), bitorder="little").tobytes())
+        head = np.frombuffer(heads[j][0].to_bytes((heads[j][1] + 7) // 8, "little"), np.uint8)
+        whole = stream[8 * base[j] : 8 * base[j] + (bits[j] + 7) // 8]
+        whole[: len(head)] |= head
+        out[k] = webp._riff(whole.tobytes())
     return out
 
 
+def _words(value: np.ndarray, size: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
+    """Bytes of so many 64-bit words in which each value stands at its bit, in rising order and apart."""
+    out = np.zeros(count, "<u8")
+    word, skip = at >> 6, (at & 63).astype(np.uint64)
+    new = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[new]] = np.bitwise_or.reduceat(value << skip, new)
+    over = np.flatnonzero((at & 63) + size > 64)
+    out[word[over] + 1] |= value[over] >> (np.uint64(64) - skip[over])
+    return out.view(np.uint8)
+
+
 # Reading
 
 
