@@ -23,8 +23,8 @@ from larkspur.llm import webp
 LONGEST = 12
 #: Fewer images than this are quicker one after the other.
 FEW = 40
-#: Images worked on at a time, which bounds memory for a long text.
-GROUP = 1024
+#: Images written and read at a time, which bounds memory for a long text.
+WRITTEN, READ = 128, 1024
 #: Shortest and longest back-reference.
 SHORTEST, FARTHEST = 4, 4096
 _GREEN, _BACK = 256 + 24, 40
@@ -105,11 +105,13 @@ def _put_code(out: webp.BitWriter, lengths: np.ndarray) -> None:
     for n in stored[:count]:
         out.put(n, 3)
     out.put(0, 1)
-    lone = sum(n > 0 for n in sizes) == 1
+    if sum(n > 0 for n in sizes) == 1:
+        sizes = [0] * len(sizes)
+    value, at = 0, 0
     for k, extra, n in steps:
-        if not lone:
-            out.put(bits[k], sizes[k])
-        out.put(extra, n)
+        value |= (bits[k] | extra << sizes[k]) << at
+        at += sizes[k] + n
+    out.put(value, at)
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +175,7 @@ def _header(width: int, height: int, green: np.ndarray, back: np.ndarray) -> tup
 
 def encode_many(images: list[np.ndarray]) -> list[bytes]:
     """A lossless WebP file for each grey image, all of one width."""
-    return [f for k in range(0, len(images), GROUP) for f in _encode(images[k : k + GROUP])]
+    return [f for k in range(0, len(images), WRITTEN) for f in _encode(images[k : k + WRITTEN])]
 
 
 def _encode(images: list[np.ndarray]) -> list[bytes]:
@@ -355,7 +357,7 @@ def read_in_step(jobs: list[tuple[webp.Bits, list[webp.Code], int, int]]) -> lis
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """:func:`larkspur.llm.webp.decode` of each file."""
-    return [argb for k in range(0, len(files), GROUP) for argb in _decode(files[k : k + GROUP])]
+    return [argb for k in range(0, len(files), READ) for argb in _decode(files[k : k + READ])]
 
 
 def _decode(files: list[bytes]) -> list[np.ndarray]:
