@@ -74,8 +74,10 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded text size; a single longer text is a batch by itself."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded text size (``PIECE_BYTES`` unless given); a single longer text is a
+    batch by itself."""
+    size = size or PIECE_BYTES
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -86,7 +88,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start = 0
         while start < n:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + PIECE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
     release()
@@ -124,12 +126,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(8 * PIECE_BYTES))
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", size: int | None = None) -> DataFrame:
     """``mapInArrow`` over bounded pieces of the input."""
     bound_batches(df.sparkSession)
 
     def run(batches):
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, size):
             yield work(piece)
 
     return df.mapInArrow(run, schema)

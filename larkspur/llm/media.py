@@ -24,6 +24,8 @@ from larkspur.llm.webp_many import decode_many, encode_many
 from larkspur.llm.common import map_texts
 
 UNIT = 64
+#: Bytes of text worked on at a time: a round of the reader costs less a symbol the more images it has.
+TOGETHER = 4 << 20
 #: Rows of one image.
 ROWS = 64
 
@@ -89,4 +91,4 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(rows, work, SCHEMA + ", media binary" * with_media)
+    return map_texts(rows, work, SCHEMA + ", media binary" * with_media, size=TOGETHER)

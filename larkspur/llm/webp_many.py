@@ -20,11 +20,11 @@ import numpy as np
 from larkspur.llm import webp
 
 #: Longest code the writer makes, and the reader takes into its tables.
-LONGEST = 12
+LONGEST = 10
 #: Fewer images than this are quicker one after the other.
 FEW = 40
 #: Images written and read at a time, which bounds memory for a long text.
-WRITTEN, READ = 128, 1024
+WRITTEN, READ = 128, 4096
 #: Shortest and longest back-reference.
 SHORTEST, FARTHEST = 4, 4096
 _GREEN, _BACK = 256 + 24, 40
