@@ -86,4 +86,24 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root)::BIGINT AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op2_mixing": OP2, "op4_jaccard_join": OP4}
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM d)
+), s AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY passage) AS least FROM w) WHERE least < doc_id
+), c AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(p, p + 13)) AS p FROM s)
+), x AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d
+), k AS (
+  SELECT x.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE c.p IS NULL) AS kept
+  FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY x.doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op2_mixing": OP2, "op4_jaccard_join": OP4, "op5_substring_dedup": OP5}
