@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import classifier, common, fm_index, jaccard, licenses, line_dedup, media, mixing, pieces, quality_rules, secrets, substrings, webp, webp_many
+from larkspur.llm import classifier, common, fm_index, jaccard, licenses, line_dedup, media, mixing, pieces, quality_rules, queries, secrets, substrings, webp, webp_many
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -223,6 +224,90 @@ def test_entropy_allow_list_and_scan(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def brute_secrets(t):
+    """Base spans character by character, entropy spans by a recount of every window."""
+    word, found, at = set(string.ascii_letters + string.digits + "+/_.=-"), [], 0
+    while at < len(t):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if t[at : at + len(name)].isascii() and t[at : at + len(name)].lower() == name:
+                k = at + len(name)
+                k += t[k : k + 1] in ("'", '"') and k < len(t)
+                while t[k : k + 1] == " ":
+                    k += 1
+                if t[k : k + 1] in (":", "=") and k < len(t):
+                    k += 1
+                    while t[k : k + 1] == " ":
+                        k += 1
+                    k += t[k : k + 1] in ("'", '"') and k < len(t)
+                    z = k
+                    while z < len(t) and t[z] in word:
+                        z += 1
+                    if z > k:
+                        end = (k, z)
+                        break
+        if end:
+            if end[1] - end[0] >= 8:
+                found.append((at, 0, end[1]))
+            at = end[1]
+        else:
+            at += 1
+
+    def runs(letters):
+        for k, ch in enumerate(t):
+            if ch in letters and (not k or t[k - 1] not in letters):
+                z = k
+                while z < len(t) and t[z] in letters:
+                    z += 1
+                yield k, z
+
+    upper = set(string.ascii_uppercase + string.digits)
+    at = t.find("AKIA")
+    while at >= 0:
+        z = at + 4
+        while z < len(t) and t[z] in upper:
+            z += 1
+        if z - at >= 16:
+            found.append((at, 1, z))
+        at = t.find("AKIA", z if z > at + 4 else at + 1)
+    found += [(a, 2, z) for a, z in runs(set("0123456789abcdef")) if z - a >= 32]
+    base = sorted(found)
+    for number, letters, width, least in ((3, set(string.hexdigits), 24, 3.0), (4, word - {"."}, 20, 3.8)):
+        for a, z in runs(letters):
+            outer = set(string.ascii_letters + string.digits)
+            if z - a < width or secrets.allowed(t[a:z]) or (number == 3 and (t[a - 1 : a] and t[a - 1] in outer or t[z : z + 1] and t[z] in outer)):
+                continue
+            hot = set()
+            for k in range(a, z - width + 1):
+                counts = Counter(t[k : k + width]).values()
+                if -sum(c / width * np.log2(c / width) for c in counts) >= least - 1e-9:
+                    hot |= set(range(k, k + width))
+            for k in sorted(hot):
+                if k - 1 not in hot:
+                    e = k
+                    while e in hot:
+                        e += 1
+                    if not secrets.allowed(t[k:e]):
+                        found.append((k, number, e))
+    return base, sorted(found)
+
+
+def test_secrets_query_against_brute_force(spark, rows, tmp_path):
+    rng = random.Random(9)
+    parts = ["token", "PASSWORD", "api_key", "ApiKey", "secret", " ", "  ", ":", "=", '"', "'", "AKIA", "AKIAABCDEFGHIJKL", "deadbeef" * 4, "x", "ſecret", "日", "\n", "hunter2hunter2", "Q7zX9Lm2Kp4Rt8Vb1Nc6", "0f1e2d3c4b5a69788796a5b4", "-", ".", "EXAMPLE"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 24))) for _ in range(400)] + [r[1] for r in rows] + [None]
+    folder = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = by_id(queries.op3_secrets(spark, folder))
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        base, every = brute_secrets(t or "")
+        kinds = [kind for _, kind, _ in base]
+        digest = hashlib.sha256(secrets._joined(base).encode()).hexdigest()
+        assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == tuple(kinds.count(n) for n in range(3)), t
+        assert got[k].base_sha256 == digest and got[k].spans == secrets._joined(every), t
+
+
 # 4 n-gram Jaccard join
 def shingle_set(t):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
